@@ -2,20 +2,65 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from .minhash import near_duplicates
+from .mixing import mix_plan
+from .packing import pack
+from .quality_model import quality_scores
 from .repeats import remove_repeats
+from .tokens import token_index
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, length=4096)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), span=200)
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op6_suffix_array_dedup)}
-SQL: dict[str, str] = {}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_minhash_near_dedup, op4_token_files, op5_pack_sequences, op6_suffix_array_dedup, op9_quality_classifier)}
+
+SQL: dict[str, str] = {
+    "op1_mix_sources": r"""
+        WITH sized AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix-1:' || doc_id) AS k FROM documents
+        ), line AS (
+            SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM sized
+        ), per AS (
+            SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM sized GROUP BY source
+        ), cap AS (
+            SELECT *, source_size * 2.0::DOUBLE AS cap FROM per
+        ), fill AS (
+            SELECT *, cap / weight AS lvl,
+                (sum(source_size::DOUBLE) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS even
+            FROM cap WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), tgt AS (
+            SELECT source, source_size, least(cap, (SELECT arg_min(even, lvl) FROM fill WHERE even <= lvl) * weight) AS target FROM fill
+        ), plan AS (
+            SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS turns FROM tgt
+        )
+        SELECT doc_id, l.source, size, source_size, target,
+            (turns * size + greatest(0, least(size, floor(target)::BIGINT - turns * source_size - b)))::BIGINT AS taken
+        FROM line l JOIN plan p ON l.source IS NOT DISTINCT FROM p.source
+    """,
+}
