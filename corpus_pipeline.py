@@ -1,12 +1,74 @@
-"""From raw documents to packed sequences: five stages, each written and read again before the next."""
+"""From raw documents to packed sequences: five stages, each written and read again before the next.
+
+Quality rules drop what they reject, near-duplicate groups keep one document, repeated
+passages are cut out of the texts that hold them, sources are mixed to their budgets,
+and the mix is packed.  All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import public_tokenizers
+
+from lattiq.llm.durable import Workspace
+from lattiq.llm.minhash import near_duplicates
+from lattiq.llm.mixing import mix
+from lattiq.llm.packing import pack
+from lattiq.llm.quality_rules import judged
+from lattiq.llm.repeats import remove_repeats
+from lattiq.session import table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep.  A null id can't be told from another and is judged with them: it goes."""
+    kept = judged(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    kept = near_duplicates(docs, width=5, percent=80).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that stand elsewhere too; n_chars follows the text."""
+    cut = remove_repeats(docs, span=200, texts=True).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept_text")
+    joined = docs.join(cut, F.col("doc_id") == F.col("cut_id"), "left")
+    text = F.when(F.col("cut_id").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
+    return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("cut_id").isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix by target weights; a document comes once for each epoch that takes it."""
+    return mix(docs, weights=(3, 1, 2), share=1.5, most=2.0)
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, length=4096)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("suffix-array dedup", repeats_stage),
+    ("mixing sources to target weights", mix_stage),
+    ("packing", pack_stage),
+]
 
-STAGES: list = []
+#: Perplexity, repeats and tokens have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Packed pieces of ``documents``, through every stage."""
+    space = Workspace(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = space.settle(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            space.drop(f"stage-{k - 1}")
+    return docs

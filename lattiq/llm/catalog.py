@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from . import chat, licenses
+from .fingerprint import fingerprint_table
 from .minhash import near_duplicates
 from .mixing import mix_plan
 from .packing import pack
 from .quality_model import quality_scores
+from .quality_rules import judged
 from .repeats import remove_repeats
 from .tokens import token_index
 
@@ -18,6 +21,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -34,11 +41,29 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), span=200)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_table(table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_minhash_near_dedup, op4_token_files, op5_pack_sequences, op6_suffix_array_dedup, op9_quality_classifier)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_chat_formatting, op3_minhash_near_dedup, op4_token_files, op5_pack_sequences, op6_suffix_array_dedup,
+        op7_fingerprints, op8_license_scan, op9_quality_classifier, op10_quality_rules,
+    )
+}
 
 SQL: dict[str, str] = {
     "op1_mix_sources": r"""
@@ -63,4 +88,6 @@ SQL: dict[str, str] = {
             (turns * size + greatest(0, least(size, floor(target)::BIGINT - turns * source_size - b)))::BIGINT AS taken
         FROM line l JOIN plan p ON l.source IS NOT DISTINCT FROM p.source
     """,
+    "op2_chat_formatting": chat.ORACLE,
+    "op8_license_scan": licenses.oracle(),
 }
