@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship
 
 SETTING = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,9 +44,14 @@ class Workspace:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def settle(self, frame: DataFrame, name: str) -> DataFrame:
-        """Write ``frame`` and return what was written."""
+        """Write ``frame`` and return what was written; its shuffle files go as soon as it stands."""
         at = f"{self.root}/{name}"
-        frame.write.mode("overwrite").parquet(at)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            frame.write.mode("overwrite").option("compression", "zstd").parquet(at)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(frame.schema).parquet(at)
 
     def drop(self, *names: str) -> None:

@@ -28,7 +28,7 @@ GRAM = 32
 GRAIN = 16
 EDGE = 4
 BLOCK = 1 << 20
-HOT = 2000
+HOT = 50_000
 SLICES = 16
 U64 = np.uint64
 
