@@ -28,8 +28,7 @@ GRAM = 32
 GRAIN = 16
 EDGE = 4
 BLOCK = 1 << 20
-HOT = 50_000
-SLICES = 16
+HOT = 20_000
 U64 = np.uint64
 
 
@@ -91,9 +90,10 @@ def anchor_rows(span: int):
 def cut_rows(span: int):
     """The cuts around each anchor that may repeat.
 
-    A plain anchor gives one cut with all starts whose string holds it.  A hot one
-    gives ``SLICES`` shorter cuts, each for some of these starts and keyed by the
-    bytes they all have in common, so that no key gathers unlike places.
+    A plain anchor gives one cut with all starts whose string holds it.  One with more
+    than ``HOT`` places gives a shorter cut for each ``HOT`` of them, at most one for
+    every start, each keyed by the bytes that its starts have in common: the more places, the more
+    of them are equal cuts, which are merged.
     """
     schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int32()), ("key", pa.int64()), ("lead", pa.int32()), ("u1", pa.int64()), ("u2", pa.int64()), ("cut", pa.binary())])
 
@@ -105,14 +105,14 @@ def cut_rows(span: int):
             flat = spots.flatten()
             bounds = spots.offsets.to_numpy()
             bounds = bounds - bounds[0]
-            where, gram, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            where, gram, slices = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             of, start, key, lead, u1, u2, cut = [], [], [], [], [], [], []
             for k in range(batch.num_rows):
                 begin, end = int(offsets[k]), int(offsets[k + 1])
                 for j in range(bounds[k], bounds[k + 1]):
                     p = int(where[j])
                     reach = span - GRAM
-                    step = -(-(reach + 1) // SLICES) if hot[j] else reach + 1
+                    step = -(-(reach + 1) // min(int(slices[j]), reach + 1))
                     for x in range(0, reach + 1, step):
                         first = p - min(reach, x + step - 1)
                         final = p - x
@@ -120,7 +120,7 @@ def cut_rows(span: int):
                         if high - low < span:
                             continue
                         own = data[begin + low : begin + high]
-                        core = data[begin + max(0, final) : begin + min(end - begin, first + span)] if hot[j] else b""
+                        core = data[begin + max(0, final) : begin + min(end - begin, first + span)] if slices[j] > 1 else b""
                         name = hashlib.blake2b(b"%d %d %d " % (gram[j], x, p - low) + own, digest_size=16).digest()
                         of.append(k)
                         start.append(low)
@@ -304,8 +304,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     copies = space.settle(long.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies")
     found = space.settle(long.select("t1", "t2", "text").mapInArrow(anchor_rows(span), "t1 long, t2 long, pos int, gram long"), "anchors")
     occurrence = F.xxhash64("t1", "t2", "pos")
-    grams = found.withColumn("o", occurrence).groupBy("gram").agg(F.min("o").alias("low"), F.max("o").alias("high"), F.count("*").alias("n")).filter("low <> high").select("gram", (F.col("n") > HOT).alias("hot"))
-    spots = found.join(grams, "gram").groupBy("t1", "t2").agg(F.collect_set(F.struct("pos", "gram", "hot")).alias("spots"))
+    grams = found.withColumn("o", occurrence).groupBy("gram").agg(F.min("o").alias("low"), F.max("o").alias("high"), F.count("*").alias("n")).filter("low <> high").select("gram", F.ceil(F.col("n") / HOT).alias("slices"))
+    spots = found.join(grams, "gram").groupBy("t1", "t2").agg(F.collect_set(F.struct("pos", "gram", "slices")).alias("spots"))
     spots = space.settle(spots, "spots")
     space.drop("anchors")
     named = spots.join(copies, ["t1", "t2"]).select(F.col("t1").alias("w1"), F.col("t2").alias("w2"), "rep", "spots")
@@ -313,11 +313,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     cuts = space.settle(held.select("t1", "t2", "text", "spots").mapInArrow(cut_rows(span), "t1 long, t2 long, start int, key long, lead int, u1 long, u2 long, cut binary"), "cuts")
     space.drop("spots")
     place = F.xxhash64("t1", "t2", "start")
-    unlike = cuts.select("u1", "u2", "key", "lead", F.length("cut").alias("size"), place.alias("o")).groupBy("u1", "u2").agg(F.first("key").alias("key"), F.first("lead").alias("lead"), F.first("size").alias("size"), F.min("o").alias("low"), F.max("o").alias("high"))
+    unlike = cuts.withColumn("o", place).groupBy("u1", "u2").agg(F.first("key").alias("key"), F.first("lead").alias("lead"), F.first("cut").alias("cut"), F.min("o").alias("low"), F.max("o").alias("high"))
     unlike = space.settle(unlike, "unlike")
-    alike = unlike.filter("low <> high").select("u1", "u2", F.array(F.lit(0), (F.col("size") - span).cast("int")).alias("stretch"))
+    alike = unlike.filter("low <> high").select("u1", "u2", F.array(F.lit(0), F.octet_length("cut") - span).alias("stretch"))
     met = unlike.groupBy("key").agg(F.count("*").alias("n"), F.max((F.col("low") == F.col("high")).cast("int")).alias("open")).filter("n > 1 and open = 1").select("key")
-    asked = cuts.join(met, "key", "left_semi").select("key", "lead", "u1", "u2", "cut").dropDuplicates(["u1", "u2"])
+    asked = unlike.join(met, "key", "left_semi").select("key", "lead", "u1", "u2", "cut")
     solved = asked.repartition("key").sortWithinPartitions("key", "u1", "u2").mapInArrow(block_rows(span, grain), "u1 long, u2 long, stretch array<int>")
     stretch = solved.join(alike.select("u1", "u2"), ["u1", "u2"], "left_anti").unionByName(alike)
     covers = cuts.select("t1", "t2", "start", "u1", "u2").distinct().join(stretch, ["u1", "u2"]).groupBy("t1", "t2").agg(F.collect_list(F.transform("stretch", lambda x: x + F.col("start"))).alias("pairs"))
