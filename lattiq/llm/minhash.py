@@ -7,9 +7,11 @@ postings of either side (prefix filter over one global order), so only those are
 merged, and the frequent lists that remain are skipped.  Candidates are counted
 on whole signatures, then confirmed on full shingle sets.
 
-Groups of near copies are never expanded into all pairs: each class first tries
-its most central partners, the confirmed links collapse into components, and only
-pairs of *different* components that share a prefix posting are tried after that.
+Groups of near copies are never expanded into rows of pairs: each class first tries
+its most central partners, and the confirmed links collapse into components.  Classes
+that met the same hub but are still apart are compared in blocks of bounded bytes, which
+give only the links they find.  Pairs of different components and hubs that share a
+prefix posting are tried one by one after that.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from .durable import Workspace
 
 _rng = np.random.default_rng(7)
 COORDINATES = 64
+BLOCK_BYTES = 1 << 23
 _SCALE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _rng.integers(0, 2**63, 256, dtype=np.uint64)
 
@@ -134,6 +137,42 @@ def linked_rows(percent: int):
     return rows
 
 
+def block_links(matches: int, percent: int):
+    """Links between different components inside a block, as few as join them; any pair that is left out is in one component by then or no link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        node, comp = (block[c].to_numpy() for c in ("node", "comp"))
+        side = block["side"].to_numpy()
+        signs = np.frombuffer(b"".join(block["sig"].to_pylist()), np.uint32).reshape(len(node), -1)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block["own"]]
+        sizes = np.array([len(x) for x in sets])
+        place = np.unique(comp, return_inverse=True)[1]
+        two_sided = (side == 2).any()
+        found = []
+        for r in range(len(node)):
+            if two_sided and side[r] != 1:
+                continue
+            others = np.flatnonzero(place != place[r])
+            others = others[side[others] == 2] if two_sided else others[others > r]
+            others = others[100 * np.minimum(sizes[others], sizes[r]) >= percent * np.maximum(sizes[others], sizes[r])]
+            agree = (signs[others] == signs[r]).sum(1)
+            keep = agree >= matches
+            others, agree = others[keep], agree[keep]
+            for o in others[np.argsort(-agree, kind="stable")]:
+                if place[o] == place[r]:
+                    continue
+                both = np.sort(np.concatenate([sets[r], sets[o]]))
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= percent * (len(both) - shared):
+                    found.append((node[r], node[o]))
+                    place[place == place[o]] = place[r]
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return links
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, matches: int = 36, coordinates: int = COORDINATES, rounds: int = 2) -> DataFrame:
     """Link documents whose word-shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -179,9 +218,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def confirmed(pairs: DataFrame) -> DataFrame:
         return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "own_a", "own_b").mapInArrow(linked_rows(percent), "a long, b long, linked boolean")
 
-    links = tried = None
+    def blocks(hubs: DataFrame, placed: DataFrame) -> DataFrame:
+        """Links inside the hubs' groups, compared in blocks of ``BLOCK_BYTES`` or pairs of such blocks."""
+        named = hubs.join(placed, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(sets, "node")
+        sums = named.groupBy("hub").agg(F.countDistinct("comp").alias("comps"), F.ceil(F.sum(F.octet_length("own")) / BLOCK_BYTES).cast("int").alias("m")).filter("comps > 1")
+        cut = named.join(sums, "hub").join(signatures.select("node", "sig"), "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+        # A chunk stands once alone and once beside every other, as the first or the second of the two.
+        spread = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        spread = spread.select("hub", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"), "node", "comp", "sig", "own")
+        return spread.groupBy("hub", "p", "q").applyInArrow(block_links(matches, percent), "a long, b long")
+
+    links = tried = hubs = None
     placed = prefix.select("node", F.col("node").alias("comp")).distinct()
-    rest = None
     for step in range(rounds + 1):
         here = prefix.join(placed, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         heads = here.groupBy("key", "comp").agg(F.max(F.struct("central", "node")).alias("head"))
@@ -192,24 +240,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             pairs = star.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
         else:
             # What is left: pairs of different components under one posting.
-            lists = space.settle(here.join(mixed.select("key"), "key").select("key", "comp", "node"), "lists")
+            lists = space.settle(here.join(mixed.select("key"), "key").join(hubs, "node", "left").select("key", "comp", "node", "hub"), "lists")
             keyed = lists.select("key", "comp").distinct()
             met = keyed.select("key", F.col("comp").alias("c1")).join(keyed.select("key", F.col("comp").alias("c2")), "key").filter("c1 < c2")
-            left = lists.select("key", F.col("comp").alias("c1"), F.col("node").alias("x"))
-            right = lists.select("key", F.col("comp").alias("c2"), F.col("node").alias("y"))
-            pairs = met.join(left, ["key", "c1"]).join(right, ["key", "c2"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            left = lists.select("key", F.col("comp").alias("c1"), F.col("node").alias("x"), F.col("hub").alias("h1"))
+            right = lists.select(F.col("key").alias("k2"), F.col("comp").alias("d2"), F.col("node").alias("y"), F.col("hub").alias("h2"))
+            apart = F.coalesce(F.col("h1") != F.col("h2"), F.lit(True))
+            pairs = met.join(left, ["key", "c1"]).join(right, (F.col("key") == F.col("k2")) & (F.col("c2") == F.col("d2")) & apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, (pairs.a == tried.x) & (pairs.b == tried.y), "left_anti")
         close = agreed(pairs)
         if step < rounds:
             close = close.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
+            if step == 0:
+                close = space.settle(close, "close")
+                hubs = close.select(F.col("a").alias("node"), F.col("b").alias("hub"))
         seen = space.settle(confirmed(close), f"seen-{step}")
         both = seen.select(F.col("a").alias("x"), F.col("b").alias("y")).union(seen.select("b", "a"))
         tried = both if tried is None else tried.union(both)
-        links = seen.filter("linked") if links is None else links.union(seen.filter("linked"))
-        if step == rounds and seen.filter("linked").isEmpty():
+        more = seen.filter("linked").select("a", "b")
+        links = more if links is None else links.unionByName(more)
+        if step == rounds and more.isEmpty():
             break
         placed = components(links, space, f"components-{step}")
+        if step == rounds - 1:
+            links = links.select("a", "b").unionByName(space.settle(blocks(hubs, placed), "within"))
+            placed = components(links, space, "components-within")
     smallest = classes.join(placed, "node").groupBy("comp").agg(F.min("rep").alias("component"))
     named = classes.join(placed, "node", "left").join(smallest, "comp", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     named = space.settle(named, "named")
