@@ -10,14 +10,14 @@ looks ahead across words) and a vocabulary of any other kind are encoded whole.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 import re
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.normalizers import Sequence
 
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_000_000
 CALL = 512
 _UNSAFE = re.compile(r"\s \s")
 _encoders: dict[tuple, WordEncoder] = {}
@@ -35,6 +35,18 @@ def kind_of(spec: dict) -> str:
     return "whole"
 
 
+class Known(dict):
+    """Ids by word; a word looked up in vain gets an empty place, to be filled before the places are joined."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: dict[str, bytearray] = {}
+
+    def __missing__(self, word: str) -> bytearray:
+        self[word] = self.fresh[word] = place = bytearray()
+        return place
+
+
 class WordEncoder:
     def __init__(self, text: str, special_as_text: bool = True):
         spec = json.loads(text)
@@ -47,72 +59,116 @@ class WordEncoder:
         self.kind = kind_of(spec)
         self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.known: dict[str, bytes] = {}
+        self.closes = np.zeros(len(self.opens), bool)
+        if mark := spec["model"].get("end_of_word_suffix"):
+            self.closes[[i for t, i in vocab.items() if t.endswith(mark)]] = True
+        # Below U+0300 nothing composes, so lower case is all that such a vocabulary's normalizer does to a word.
+        self.lower = Tokenizer.from_str(text)
+        self.lower.encode_special_tokens = special_as_text
+        if self.kind == "ended":
+            self.lower.normalizer = Sequence([])
+        self.known = Known()
         zero = self._plain(["0"])[0]
         self.mark = int(np.frombuffer(zero, self.width)[0]) if len(zero) == self.width.itemsize else None
         if self.kind == "ended" and self.mark is None:
             self.kind = "whole"
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _plain(self, texts: list[str], low: bool = False) -> list[bytes]:
+        return [np.array(e.ids, self.width).tobytes() for e in (self.lower if low else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new_words(self, words: list[str]) -> None:
-        """Put ``words`` (none holds a space) among the known."""
+    def _new_words(self, words: list[str], out: dict[str, bytes], low: bool = False) -> None:
+        """Put the ids of ``words`` (none holds a space) into ``out``."""
         clean, odd = [], []
         for w in words:
             (odd if not w or w.split() != [w] or (self.kind == "ended" and "0" in w) else clean).append(w)
         lead = " " if self.kind == "spaced" else ""
-        for w, ids in zip(odd, self._plain([lead + w for w in odd]), strict=True):
-            self.known[w] = ids
+        if not lead:
+            # Letters alone are one piece, whose last id says so.
+            letters = [w for w in clean if w.isalpha()]
+            clean = [w for w in clean if not w.isalpha()]
+            self._pieces([letters[i : i + CALL] for i in range(0, len(letters), CALL)], out, low)
+        out.update(zip(odd, self._plain([lead + w for w in odd], low), strict=True))
         groups = [clean[i : i + CALL] for i in range(0, len(clean), CALL)]
         joined = [" " + " ".join(g) if lead else " 0 ".join(g) + " 0" for g in groups]
-        for own, ids in zip(groups, self._plain(joined), strict=True):
+        for own, ids in zip(groups, self._plain(joined, low), strict=True):
             array = np.frombuffer(ids, self.width)
             at = np.flatnonzero(self.opens[array] if lead else array == self.mark)
             if len(at) != len(own):
-                self.known.update(zip(own, self._plain([lead + w for w in own]), strict=True))
+                out.update(zip(own, self._plain([lead + w for w in own], low), strict=True))
             elif lead:
                 at = (at * self.width.itemsize).tolist() + [len(ids)]
-                self.known.update((w, ids[at[k] : at[k + 1]]) for k, w in enumerate(own))
+                out.update((w, ids[at[k] : at[k + 1]]) for k, w in enumerate(own))
             else:
                 size = self.width.itemsize
                 ends = (at * size).tolist()
                 starts = [0] + [e + size for e in ends[:-1]]
-                self.known.update((w, ids[s:e]) for w, s, e in zip(own, starts, ends, strict=True))
+                out.update((w, ids[s:e]) for w, s, e in zip(own, starts, ends, strict=True))
 
-    def _learn(self, wanted: set[str]) -> None:
-        new = wanted.difference(self.known)
-        if not new:
-            return
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
-            new = wanted
+    def _pieces(self, groups: list[list[str]], out: dict[str, bytes], low: bool) -> None:
+        size = self.width.itemsize
+        for own, ids in zip(groups, self._plain([" ".join(g) for g in groups], low), strict=True):
+            ends = (np.flatnonzero(self.closes[np.frombuffer(ids, self.width)]) + 1) * size
+            if len(ends) != len(own):
+                out.update(zip(own, self._plain(own, low), strict=True))
+                continue
+            ends = ends.tolist()
+            out.update((w, ids[s:e]) for w, s, e in zip(own, [0, *ends], ends, strict=False))
+
+    def _learned(self, fresh: dict[str, bytearray]) -> dict[str, bytes]:
+        """Ids of words that are new, by way of what is known of their parts."""
+        known = {w: self.known[w] for w in self._parts(fresh) if w in self.known and w not in fresh}
         # A comma or full stop after an ASCII letter is always split off.
-        tails = [w for w in new if len(w) > 1 and w[-1] in ",." and w[-2].isascii() and w[-2].isalpha()]
-        need = new.difference(tails)
-        need.update(w[:-1] for w in tails if w[:-1] not in self.known)
-        self._new_words(list(need))
+        tails = [w for w in fresh if self._tailed(w)]
+        need = {w for w in fresh if not self._tailed(w)} | {w[:-1] for w in tails if w[:-1] not in known}
+        out: dict[str, bytes] = {}
+        if self.kind == "ended":
+            plain = {w: w.lower() for w in need if w and max(w) < "\u0300"}
+            self._new_words([w for w in need if w not in plain], out)
+            low: dict[str, bytes] = {}
+            self._new_words(list({x for x in plain.values() if x not in known}), low, low=True)
+            out.update((w, low[x] if x in low else known[x]) for w, x in plain.items())
+        else:
+            self._new_words(list(need), out)
         ends = dict(zip(",.", self._plain([",", "."]), strict=True))
         for w in tails:
-            self.known[w] = self.known[w[:-1]] + ends[w[-1]]
+            stem = w[:-1]
+            out[w] = (out[stem] if stem in out else known[stem]) + ends[w[-1]]
+        return out
+
+    @staticmethod
+    def _tailed(w: str) -> bool:
+        return len(w) > 1 and w[-1] in ",." and w[-2].isascii() and w[-2].isalpha()
+
+    def _parts(self, fresh: dict[str, bytearray]) -> set[str]:
+        parts = {w[:-1] for w in fresh if self._tailed(w)}
+        return parts | {w.lower() for w in parts} | {w.lower() for w in fresh} if self.kind == "ended" else parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as packed integers of type ``width``."""
         if self.kind == "whole":
             return self._plain(texts)
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
         spaced = self.kind == "spaced"
-        whole = {k for k, t in enumerate(texts) if spaced and _UNSAFE.search(t)}
-        split = [() if k in whole else t.split(" ") for k, t in enumerate(texts)]
-        self._learn(set(itertools.chain.from_iterable(split)))
-        find = self.known.__getitem__
-        if not spaced:
-            return [b"".join(map(find, p)) for p in split]
+        whole = [k for k, t in enumerate(texts) if spaced and _UNSAFE.search(t)]
+        out: list = [b""] * len(texts)
+        for k, ids in zip(whole, self._plain([texts[k] for k in whole]), strict=True):
+            out[k] = ids
+        plain = sorted(set(range(len(texts))).difference(whole))
+        find, self.known.fresh = self.known.__getitem__, {}
         # The first word of a text has no space before it.
-        heads = dict(zip(whole, self._plain([texts[k] for k in whole]), strict=True))
-        plain = [k for k in range(len(texts)) if k not in whole]
-        firsts = list({split[k][0] for k in plain})
-        first = dict(zip(firsts, self._plain(firsts), strict=True))
-        return [heads[k] if k in whole else first[p[0]] + b"".join(map(find, p[1:])) for k, p in enumerate(split)]
+        heads = [texts[k].split(" ", 1)[0] for k in plain] if spaced else []
+        places = [list(map(find, texts[k].split(" ")[1:] if spaced else texts[k].split(" "))) for k in plain]
+        ids = self._learned(self.known.fresh) if self.known.fresh else {}
+        for word, place in self.known.fresh.items():
+            place[:] = ids[word]
+        first = dict(zip(set(heads), self._plain(list(set(heads))), strict=True))
+        for n, k in enumerate(plain):
+            out[k] = (first[heads[n]] if spaced else b"") + b"".join(places[n])
+        for word in self.known.fresh:
+            self.known[word] = ids[word]
+        self.known.fresh = {}
+        return out
 
 
 def encoder(text: str, special_as_text: bool = True) -> WordEncoder:
