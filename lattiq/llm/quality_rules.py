@@ -228,6 +228,7 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     quarter = scored.filter(~F.col("base_failed")).groupBy(F.col("language").alias("l")).agg(F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias("q"))
     wide = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(least_spread)) * fence
     bands = quarter.select("l", (F.col("q")[0] * floor).alias("band_low"), (F.col("q")[1] + wide).alias("band_high"))
-    told = scored.join(bands, F.col("language") == F.col("l"), "left")
+    # A thousandth of the rows makes a language, so there are no more than a thousand and one bands.
+    told = scored.join(F.broadcast(bands), F.col("language") == F.col("l"), "left")
     verdict = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
     return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "log_perplexity", "band_low", "band_high")
