@@ -30,6 +30,7 @@ from .durable import Workspace
 _rng = np.random.default_rng(7)
 COORDINATES = 64
 BLOCK_BYTES = 1 << 23
+BLOCK_ROWS = 4096
 _SCALE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _rng.integers(0, 2**63, 256, dtype=np.uint64)
 
@@ -151,11 +152,13 @@ def block_links(matches: int, percent: int):
         place = np.unique(comp, return_inverse=True)[1]
         two_sided = (side == 2).any()
         found = []
-        for r in range(len(node)):
-            if two_sided and side[r] != 1:
-                continue
+        # A pair of different components has a class outside the largest one.
+        first = place.copy()
+        largest = np.bincount(place).argmax()
+        for r in np.flatnonzero(first != largest):
             others = np.flatnonzero(place != place[r])
-            others = others[side[others] == 2] if two_sided else others[others > r]
+            others = others[(others > r) | (first[others] == largest)]
+            others = others[side[others] != side[r]] if two_sided else others
             others = others[100 * np.minimum(sizes[others], sizes[r]) >= percent * np.maximum(sizes[others], sizes[r])]
             agree = (signs[others] == signs[r]).sum(1)
             keep = agree >= matches
@@ -219,9 +222,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "own_a", "own_b").mapInArrow(linked_rows(percent), "a long, b long, linked boolean")
 
     def blocks(hubs: DataFrame, placed: DataFrame) -> DataFrame:
-        """Links inside the hubs' groups, compared in blocks of ``BLOCK_BYTES`` or pairs of such blocks."""
+        """Links inside the hubs' groups, compared in blocks of at most about ``BLOCK_BYTES`` and ``BLOCK_ROWS`` or pairs of such blocks."""
         named = hubs.join(placed, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(sets, "node")
-        sums = named.groupBy("hub").agg(F.countDistinct("comp").alias("comps"), F.ceil(F.sum(F.octet_length("own")) / BLOCK_BYTES).cast("int").alias("m")).filter("comps > 1")
+        sums = named.groupBy("hub").agg(F.countDistinct("comp").alias("comps"), F.ceil(F.greatest(F.sum(F.octet_length("own")) / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)).cast("int").alias("m")).filter("comps > 1")
         cut = named.join(sums, "hub").join(signatures.select("node", "sig"), "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
         # A chunk stands once alone and once beside every other, as the first or the second of the two.
         spread = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
