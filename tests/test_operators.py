@@ -149,3 +149,25 @@ def test_parameters(spark):
     with pytest.raises(ValueError):
         P.scheme_config({"rho": 3}, {}, {}, ("rho",))
     assert N.scheme_tag({"rho": 8, "u": 8, "uvec": 5}, {"B": 99.5}) == "q8_uvec5_Bp99p5"
+
+
+@pytest.mark.parametrize("kind", ["bzip2", "xz", "deflate"])
+def test_codecs_come_back(spark, kind):
+    from lattiq.functions import codecs as C
+
+    table = spark.createDataFrame([(bytearray(range(240)),), (bytearray(b""),), (None,)], "b binary")
+    told = table.withColumn("z", C.compressed(C.byte_planes(F.col("b"), 4), kind)).withColumn("back", C.from_byte_planes(C.decompressed(F.col("z"), kind), 4)).collect()
+    assert all(r.back == r.b for r in told)
+    with pytest.raises(Exception, match="checksum"):
+        table.select(C.checked(F.col("b"), F.lit(1))).collect()
+
+
+def test_checkpoint_layouts(spark):
+    from lattiq.operators import checkpoints as K
+
+    rows = [("a", [128, 64, 64], [64, 32, 32], 8, [4, 4]), ("b", [128, 64, 64], [60, 32, 32], 8, None), ("c", [128, 64, 64], [64, 32, 32], 8, [4, 3])]
+    table = spark.createDataFrame(rows, "path string, mesh array<int>, block array<int>, n_blocks long, blocks_per_process array<int>")
+    assert [r[0] for r in values(K.layout_errors(table), "path")] == ["b", "c"]
+    assert spark.range(1).select(K.last_frame(F.lit(10.3), F.lit(10.0), F.lit(0.1)).alias("n")).first().n == 3
+    sums = K.repack_rollup(spark.createDataFrame([("q8", 100, 60), ("q8", 300, 140)], "scheme string, bytes_before long, bytes_after long"))
+    assert values(sums, "scheme", "saved") == [("q8", 0.5)]
