@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+# Fixed formats: numbers in the names of frame files and of raw output, and members of archives.
+FRAME_NUMBER = r"\.out0\.(\d+)\.phdf$"
+RAW_NUMBER = r"\.out\d+\.(\d+)\."
+MEMBER = "frames/%05d/%s_{suffix}.npy"
+
+
 def sequence_of(path: Column, kind: str = "frame") -> Column:
     """Number in a path's name (``.out0.N.phdf`` for frames, ``.outK.N.`` for raw output); null where there is none."""
-    pattern = r"\.out0\.(\d+)\.phdf$" if kind == "frame" else r"\.out\d+\.(\d+)\."
-    found = F.regexp_extract(path, pattern, 1)
+    found = F.regexp_extract(path, FRAME_NUMBER if kind == "frame" else RAW_NUMBER, 1)
     return F.when(found != "", found.cast("long"))
 
 
 def member_name(frame: Column, field: Column, suffix: str) -> Column:
-    return F.format_string(f"frames/%05d/%s_{suffix}.npy", frame.cast("int"), F.regexp_replace(field, r"[^A-Za-z0-9_]", "_"))
+    return F.format_string(MEMBER.format(suffix=suffix), frame.cast("int"), F.regexp_replace(field, r"[^A-Za-z0-9_]", "_"))
 
 
 def normal_key(key: Column) -> Column:

@@ -43,7 +43,7 @@ def member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([dtype.str]), pa.array([list(shape)], pa.list_(pa.int64())), pa.array([zlib.crc32(data)]), pa.array([body], pa.binary())], schema=SCHEMA)
 
 
-def read_archives(spark: SparkSession, path: str, pattern: str = "*.ddc") -> DataFrame:
+def read_archives(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
     """Every member of every archive: path, member, dtype, shape, crc32, payload (C order)."""
     ship(spark)
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)

@@ -80,7 +80,7 @@ def test_retention(spark, frames):
 def test_archives_are_read_and_checked(spark, tmp_path):
     data = io.BytesIO()
     np.save(data, np.asfortranarray(np.arange(6, dtype="<i2").reshape(2, 3)))
-    with zipfile.ZipFile(tmp_path / "x.ddc", "w") as z:
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("frames/00001/rho_q8.npy", data.getvalue())
         z.writestr("metadata.json", "{}")
     found = {r.member: r for r in archive.read_archives(spark, str(tmp_path)).collect()}
