@@ -214,9 +214,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     one, two = (signatures.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     own, other = (sets.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
 
-    def agreed(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(one, "a").join(two, "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(matched_rows(matches), "a long, b long, agree int")
+    able = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+
+    def agreed(pairs: DataFrame, least: int = matches) -> DataFrame:
+        sized = pairs.join(one, "a").join(two, "b")
+        sized = sized.filter(able) if least == matches else sized
+        return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(matched_rows(least), "a long, b long, agree int")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "own_a", "own_b").mapInArrow(linked_rows(percent), "a long, b long, linked boolean")
@@ -252,12 +255,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             pairs = met.join(left, ["key", "c1"]).join(right, (F.col("key") == F.col("k2")) & (F.col("c2") == F.col("d2")) & apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, (pairs.a == tried.x) & (pairs.b == tried.y), "left_anti")
-        close = agreed(pairs)
-        if step < rounds:
-            close = close.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
-            if step == 0:
-                close = space.settle(close, "close")
-                hubs = close.select(F.col("a").alias("node"), F.col("b").alias("hub"))
+        if step == 0:
+            # A class belongs to the hub it is most like, even where the two are too unlike for a link:
+            # what stands between its copies is then found inside the hub's group.
+            close = space.settle(agreed(pairs, matches // 2).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", "best.b", "best.agree"), "close")
+            hubs = close.select(F.col("a").alias("node"), F.col("b").alias("hub"))
+            # A hub that found none more like itself leads its own group.
+            hubs = hubs.unionByName(close.select(F.col("b").alias("node"), F.col("b").alias("hub")).distinct().join(hubs.select("node"), "node", "left_anti"))
+            close = close.filter(F.col("agree") >= matches)
+        else:
+            close = agreed(pairs)
+            if step < rounds:
+                close = close.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
         seen = space.settle(confirmed(close), f"seen-{step}")
         both = seen.select(F.col("a").alias("x"), F.col("b").alias("y")).union(seen.select("b", "a"))
         tried = both if tried is None else tried.union(both)
