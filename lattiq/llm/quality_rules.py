@@ -1,10 +1,11 @@
 """Quality rules: counts of each text, and perplexity under a modified Kneser-Ney model of the whole corpus.
 
-Spark counts every word and every pair of words of all documents, by language.
-Words and pairs that make up at least a fixed share of the corpus enter the model
-(so it has at most 1 / share entries, whatever the corpus); the others count in
-the discounts, in the continuation counts and in the mass left to shorter
-contexts.  The model is kept as sorted hash arrays that workers search.
+Every word and every pair of words of all documents, by language, is in the model,
+however rare.  Documents are dealt into blocks of bounded size; a block's distinct
+pairs and words go to partitions by hash, which sum them over all blocks, gather what
+words need and send each block the counts of its own pairs.  So neither the driver
+nor a worker ever holds more of the model than one block or one partition needs.
+A pair that occurs once has no share of its own, so only counts of two and more are sent.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 
 from . import textscan as T
 from .docstats import base
-from .durable import Workspace
+from .durable import Workspace, parts
 
-WORD_SHARE = 1e-5
-PAIR_SHARE = 1e-6
 LANGUAGE_SHARE = 1e-3
 HOLD = 1 << 21
+BLOCK_BYTES = 1 << 24
+#: Pairs are counted a part of their hashes at a time, so that shuffle files of all pairs never stand together.
+PASS_BYTES, MOST_PASSES = 1 << 26, 4
+COUNTS, STAT, WORD, REPLY = range(4)
 U64 = np.uint64
 
 
@@ -40,74 +43,110 @@ def word_keys(run: T.Run, of_language: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return T.mix(hashes + (of_language[run.first : run.first + run.size][of].astype(np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15)), of, first
 
 
-class Tally:
-    """Sums counts by key and lets them go when there are many."""
+def pair_rows(run: T.Run, of_language: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word, document) of a run's words; a text's first word stands after its language's beginning."""
+    keys, of, first = word_keys(run, of_language)
+    before = np.empty(len(keys), np.uint64)
+    before[1:] = keys[:-1]
+    full = np.diff(first) > 0
+    before[first[:-1][full]] = T.mix((of_language[run.first : run.first + run.size][full].astype(np.uint64) + U64(1)) * U64(0xC2B2AE3D27D4EB4F))
+    return before, keys, of
 
-    def __init__(self):
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.held = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        own, times = np.unique(keys, return_counts=True)
-        self.keys.append(own)
-        self.counts.append(times)
-        self.held += len(own)
+def pair_keys(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return T.mix(before * U64(0x9E3779B97F4A7C15) + keys)
 
-    def take(self) -> pa.RecordBatch:
-        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        self.keys, self.counts, self.held = [], [], 0
-        return pa.RecordBatch.from_arrays([pa.array(T.signed(keys[heads])), pa.array(np.add.reduceat(counts, heads).astype(np.int64))], names=["key", "n"])
 
-
-def tally_rows(languages: dict[str, int], vocabulary=None):
-    """Counts of words, or with a vocabulary of pairs of its words, by partition."""
+def tally_rows(languages: dict[str, int], part: int, ways: int):
+    """Distinct pairs of each block whose hash is in one of ``ways`` parts, with counts; with the first part also its words, with count 0."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None if vocabulary is None else vocabulary.value
-        tally = Tally()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        block, size = None, 0
+
+        def take() -> Iterator[pa.RecordBatch]:
+            before, keys, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, at, n = np.unique(hashes, return_index=True, return_counts=True)
+            yield batch_of(before[at], keys[at], n)
+            held.clear()
+
+        def batch_of(before, keys, n) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block, np.int32)), pa.array(T.signed(before)), pa.array(T.signed(keys)), pa.array(n.astype(np.int64))], names=["block", "a", "b", "n"])
+
+        words: list[np.ndarray] = []
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.unique(batch.column(2).to_numpy())
+            if len(own) > 1 or block not in (None, own[0]):
+                raise RuntimeError("a partition holds documents of two blocks")
+            block = own[0]
             of_language = language_ids(batch.column(1), languages)
             for run in T.runs(batch.column(0)):
-                keys, of, first = word_keys(run, of_language)
-                if not len(keys):
-                    continue
-                tally.add(keys if words is None else words.pairs(words.ids(keys, of_language[run.first + of]), first, of_language[run.first : run.first + run.size]).astype(np.uint64))
-                if tally.held > HOLD:
-                    yield tally.take()
-        if tally.held:
-            yield tally.take()
+                before, keys, _ = pair_rows(run, of_language)
+                if not part and len(keys):
+                    words += [np.unique(np.concatenate([before, keys]))]
+                hashes = pair_keys(before, keys)
+                if ways > 1:
+                    mine = hashes % U64(ways) == part
+                    before, keys, hashes = before[mine], keys[mine], hashes[mine]
+                if len(keys):
+                    held.append((before, keys, hashes))
+                    size += len(keys)
+                if size > HOLD:
+                    yield from take()
+                    size = 0
+            if len(words) > 64:
+                words = [np.unique(np.concatenate(words))]
+        if held:
+            yield from take()
+        if words:
+            keys = np.unique(np.concatenate(words))
+            yield batch_of(keys, np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.int64))
 
     return rows
 
 
-@dataclass
-class Vocabulary:
-    """Sorted word hashes; after them one id for the unknown words of each language, then one for each text's beginning."""
-
-    hashes: np.ndarray
-    languages: int
-
-    @property
-    def size(self) -> int:
-        return len(self.hashes) + 2 * self.languages
-
-    def ids(self, keys: np.ndarray, language: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.hashes, keys)
-        known = at < len(self.hashes)
-        known[known] = self.hashes[at[known]] == keys[known]
-        return np.where(known, at, len(self.hashes) + language)
-
-    def pairs(self, ids: np.ndarray, first: np.ndarray, language: np.ndarray) -> np.ndarray:
-        """Each word with the one before it in its document, as one number."""
-        before = np.empty(len(ids), np.int64)
-        before[1:] = ids[:-1]
-        full = np.diff(first) > 0
-        before[first[:-1][full]] = len(self.hashes) + self.languages + language[full]
-        return before * self.size + ids
+GATHERED = "kind int, block int, word long, n1 long, n2 long, n3 long, n4 long, before long, blocks array<int>, reply binary"
+
+
+def gather_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums a partition's pairs over all blocks: counts of counts, sums of words, blocks of words, and counts of two and more for each block."""
+    tables = [b for b in batches if b.num_rows]
+    if not tables:
+        return
+    table = pa.Table.from_batches(tables)
+    block, a, b, n = (table.column(x).to_numpy() for x in ("block", "a", "b", "n"))
+    del table, tables
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int32()), *((x, pa.int64()) for x in ("word", "n1", "n2", "n3", "n4", "before")), ("blocks", pa.list_(pa.int32())), ("reply", pa.binary())])
+
+    def out(kind: int, size: int, **columns) -> pa.RecordBatch:
+        full = {"kind": pa.array(np.full(size, kind, np.int32))} | columns
+        return pa.RecordBatch.from_arrays([full[f.name] if f.name in full else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+    if len(at := np.flatnonzero(n == 0)):
+        at = at[np.argsort(a[at], kind="stable")]
+        heads = np.flatnonzero(np.concatenate([[True], a[at][1:] != a[at][:-1]]))
+        ends = np.append(heads, len(at)).astype(np.int32)
+        yield out(WORD, len(heads), word=pa.array(a[at][heads]), blocks=pa.ListArray.from_arrays(pa.array(ends), pa.array(block[at])))
+    at = np.flatnonzero(n)
+    if not len(at):
+        return
+    block, a, b, n = block[at], a[at], b[at], n[at]
+    hashes, first, back = np.unique(pair_keys(a.view(np.uint64), b.view(np.uint64)), return_index=True, return_inverse=True)
+    total = np.zeros(len(hashes), np.int64)
+    np.add.at(total, back, n)
+    yield out(COUNTS, 1, **{f"n{k}": pa.array([int((total == k).sum())]) for k in (1, 2, 3, 4)})
+    words, of = np.unique(np.concatenate([a[first], b[first]]), return_inverse=True)
+    context, follows = of[: len(first)], of[len(first) :]
+    whole = lambda of, w=None: pa.array(np.bincount(of, w, minlength=len(words)).astype(np.int64))
+    yield out(STAT, len(words), word=pa.array(words), n1=whole(context, total), n2=whole(context, np.where(total > 1, total, 0)), n3=whole(context, total == 2), n4=whole(context, total > 2), before=whole(follows))
+    often = np.flatnonzero(total[back] > 1)
+    often = often[np.argsort(block[often], kind="stable")]
+    ends = np.append(np.flatnonzero(np.diff(block[often], prepend=-1)), len(often))
+    for low, high in zip(ends, ends[1:], strict=False):
+        own = np.unique(back[often[low:high]])
+        yield out(REPLY, 1, block=pa.array([block[often[low]]], pa.int32()), reply=pa.array([np.concatenate([hashes[own].view(np.int64), total[own]]).tobytes()], pa.binary()))
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -120,51 +159,76 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Log-probabilities of words after words: sorted pair numbers with their discounted shares, and what each context leaves."""
+    """What one block's words and pairs need: sums of words, and counts of the pairs that occur twice or more."""
 
-    pairs: np.ndarray
-    share: np.ndarray
+    words: np.ndarray
+    all: np.ndarray
     left: np.ndarray
     lower: np.ndarray
-    unknown: np.ndarray
-
-    def log_probability(self, pairs: np.ndarray, size: int) -> np.ndarray:
-        before, ids = pairs // size, pairs % size
+    pairs: np.ndarray
+    n: np.ndarray
+    cuts: np.ndarray
+
+    def log_probability(self, before: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        a, b = np.searchsorted(self.words, before), np.searchsorted(self.words, keys)
+        if len(keys) and (max(a.max(), b.max()) >= len(self.words) or (self.words[a] != before).any() or (self.words[b] != keys).any()):
+            raise RuntimeError("a block was not sent all of its words")
+        p = self.left[a] * self.lower[b]
+        pairs = pair_keys(before, keys)
         at = np.searchsorted(self.pairs, pairs)
         known = at < len(self.pairs)
         known[known] = self.pairs[at[known]] == pairs[known]
-        p = self.left[before] * self.lower[ids]
-        p[known] += self.share[at[known]]
-        return np.log(np.maximum(p, 1e-30)) - self.unknown[ids]
+        n = self.n[at[known]]
+        p[known] += (n - self.cuts[np.minimum(n, 3)]) / self.all[a[known]]
+        return np.log(np.maximum(p, 1e-30))
 
 
-def score_rows(languages: dict[str, int], vocabulary, model):
+def score_rows(languages: dict[str, int], cuts: np.ndarray):
+    """Rows of one block: its words and replies first, then its documents."""
     schema = pa.schema([("doc_id", pa.int64()), ("language", pa.int32())] + [(x, pa.int64()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("log_perplexity", pa.float64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = vocabulary.value, model.value
+        words: list[list[np.ndarray]] = [[], [], [], []]
+        replies: list[np.ndarray] = []
+        model, block = None, None
+
+        def built() -> Model:
+            key, all_, left, lower = (np.concatenate(x) if x else np.zeros(0) for x in words)
+            key = key.astype(np.int64).view(np.uint64)
+            order = np.argsort(key)
+            hashes = np.concatenate([np.zeros(0, np.int64), *(x[: len(x) // 2] for x in replies)]).view(np.uint64)
+            n = np.concatenate([np.zeros(0, np.int64), *(x[len(x) // 2 :] for x in replies)])
+            line = np.argsort(hashes)
+            return Model(key[order], all_[order], left[order], lower[order], hashes[line], n[line], cuts)
+
         for batch in batches:
-            of_language = language_ids(batch.column(1), languages)
-            for run in T.runs(batch.column(0)):
-                counts, hashes, first = base(run)
-                own = of_language[run.first : run.first + run.size]
-                of = np.repeat(np.arange(run.size), np.diff(first))
-                keys = T.mix(hashes + (own[of].astype(np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15))
-                logs = known.log_probability(words.pairs(words.ids(keys, own[of]), first, own), words.size) if len(keys) else np.zeros(0)
-                sums = np.bincount(of, logs, minlength=run.size)
-                n = counts["n_words"]
-                value = np.where(n > 0, -sums / np.maximum(n, 1), np.nan)
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(run.first, run.size), pa.array(own.astype(np.int32)), *(pa.array(counts[x].astype(np.int64)) for x in schema.names[2:7]), pa.array(value, from_pandas=True)], schema=schema)
+            kind, own_block = batch.column("kind").to_numpy(), batch.column("block").to_numpy()
+            for low, high in zip(at := np.flatnonzero(np.concatenate([[True], (np.diff(kind) != 0) | (np.diff(own_block) != 0)])), [*at[1:], len(kind)], strict=True) if len(kind) else ():
+                part = batch.slice(low, high - low)
+                if own_block[low] != block:
+                    words, replies, model, block = [[], [], [], []], [], None, own_block[low]
+                if kind[low] == 0:
+                    for held, name in zip(words, ("word", "all", "left", "lower"), strict=True):
+                        held.append(part.column(name).to_numpy())
+                    continue
+                if kind[low] == 1:
+                    replies += [np.frombuffer(x.as_buffer(), np.int64).copy() for x in part.column("reply")]
+                    continue
+                model = model or built()
+                of_language = language_ids(part.column("lang"), languages)
+                for run in T.runs(part.column("text")):
+                    counts, _, _ = base(run)
+                    before, keys, of = pair_rows(run, of_language)
+                    sums = np.bincount(of, model.log_probability(before, keys), minlength=run.size)
+                    n = counts["n_words"]
+                    value = np.where(n > 0, -sums / np.maximum(n, 1), np.nan)
+                    own = of_language[run.first : run.first + run.size]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(run.first, run.size), pa.array(own.astype(np.int32)), *(pa.array(counts[x].astype(np.int64)) for x in schema.names[2:7]), pa.array(value, from_pandas=True)], schema=schema)
 
     return rows
 
 
-def _columns(frame: DataFrame) -> dict[str, np.ndarray]:
-    """A frame whose size is bounded by a share, as arrays."""
-    return {name: column.to_numpy() for name, column in zip(frame.columns, frame.toArrow().columns, strict=True)}
-
-
-def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, fence: float = 4.0, least_spread: float = 0.5, floor: float = 0.1, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
+def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", word_share: float = 0.0, pair_share: float = 0.0, fence: float = 4.0, least_spread: float = 0.5, floor: float = 0.1, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
     """Counts of each text, base_failed, kept, log_perplexity and the band it is held against.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -175,54 +239,46 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     no choice of words is too regular.  What lies outside is rejected.  Null and blank texts have zero counts, no
     perplexity, and fail for want of words.  The null language is a language; languages
     with less than a thousandth of the rows share one model.  Repeated ids and rows are
-    judged each, ids may be null, and other columns are not read.
+    judged each, ids may be null, and other columns are not read.  Every word and pair is in the
+    model, so ``word_share`` and ``pair_share`` can only be 0.
     """
+    if word_share or pair_share:
+        raise ValueError("the model holds every word and pair")
     spark = docs.sparkSession
-    context = spark.sparkContext
     space = Workspace(spark, "rules")
     source = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(id_col).cast("long").alias("doc_id"))
     spoken = source.groupBy("lang").agg(F.count("*").alias("n"))
     rows = spoken.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     languages = {r[0]: k for k, r in enumerate(sorted(spoken.filter(F.col("n") >= max(1, rows * LANGUAGE_SHARE)).select("lang").collect()))}
 
-    words = space.settle(source.select("text", "lang").mapInArrow(tally_rows(languages), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = F.col("n") >= max(2.0, word_share * total)
-    kinds = words.agg(F.count("*"), F.count(F.when(frequent, 1))).first()
-    hashes = np.sort(_columns(words.filter(frequent).select("key"))["key"].view(np.uint64))
-    vocabulary = Vocabulary(hashes, len(languages) + 1)
-    held = context.broadcast(vocabulary)
-    pairs = space.settle(source.select("text", "lang").mapInArrow(tally_rows(languages, held), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
-    space.drop("words")
-
-    size = vocabulary.size
-    often = pairs.agg(*(F.coalesce(F.sum((F.col("n") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4))).first()
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    blocks = max(parts(spark), -(-size // BLOCK_BYTES))
+    source = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", "lang"), F.lit(blocks)).cast("int"))
+    passes = min(MOST_PASSES, max(1, -(-size // PASS_BYTES)))
+    gathered = None
+    for k in range(passes):
+        asked = source.select("text", "lang", "block").repartitionById(blocks, "block").mapInArrow(tally_rows(languages, k, passes), "block int, a long, b long, n long")
+        own = space.settle(asked.repartition(blocks, "a", "b").mapInArrow(gather_rows, GATHERED), f"gathered-{k}")
+        gathered = own if gathered is None else gathered.unionByName(own)
+
+    often = gathered.filter(F.col("kind") == COUNTS).agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in (1, 2, 3, 4))).first()
     d = discounts(np.array(often))
-    off = F.when(F.col("n") == 1, float(d[1])).when(F.col("n") == 2, float(d[2])).otherwise(float(d[3]))
-    kept = F.col("n") >= max(2.0, pair_share * total)
-    by_context = _columns(pairs.groupBy(F.expr(f"key div {size}").alias("a")).agg(F.sum("n").cast("double").alias("all"), F.sum(F.when(kept, F.col("n") - off).otherwise(0.0)).alias("own")))
-    by_word = _columns(pairs.groupBy((F.col("key") % size).alias("b")).agg(F.count("*").cast("double").alias("before")))
-    top = _columns(pairs.filter(kept).select("key", (F.col("n") - off).alias("own")))
-
-    left = np.ones(size)
-    sums = np.ones(size)
-    sums[by_context["a"]] = by_context["all"]
-    left[by_context["a"]] = 1 - by_context["own"] / by_context["all"]
-    before = np.zeros(size)
-    before[by_word["b"]] = by_word["before"]
-    d1 = discounts(np.array([(before == k).sum() for k in (1, 2, 3, 4)]))
-    cut = np.where(before > 0, np.minimum(before, d1[np.minimum(before, 3).astype(int)]), 0.0)
-    lower = (before - cut) / max(before.sum(), 1.0) + cut.sum() / max(before.sum(), 1.0) / max(size, 1)
-    order = np.argsort(top["key"])
-    keys = top["key"][order]
-    share = top["own"][order] / sums[keys // size] if len(keys) else np.zeros(0)
-    # An unknown word is one of the kinds that are not in the vocabulary.
-    unknown = np.zeros(size)
-    unknown[len(hashes) : len(hashes) + vocabulary.languages] = np.log(max(kinds[0] - kinds[1], 1))
-    model = context.broadcast(Model(keys, share, left, lower, unknown))
+    sums = gathered.filter(F.col("kind") == STAT).groupBy("word").agg(*(F.sum(x).alias(x) for x in ("n1", "n2", "n3", "n4", "before")))
+    sums = space.settle(sums, "sums")
+    every = sums.agg(F.coalesce(F.sum("before"), F.lit(0)), F.count(F.when(F.col("before") > 0, 1)), *(F.count(F.when(F.col("before") == k, 1)) for k in (1, 2, 3, 4))).first()
+    d1 = discounts(np.array(every[2:]))
+    pick = lambda n, cuts: F.when(n == 0, 0.0).when(n == 1, float(cuts[1])).when(n == 2, float(cuts[2])).otherwise(float(cuts[3]))
+    cut = F.least(F.col("before").cast("double"), pick(F.col("before"), d1))
+    spared = sums.agg(F.coalesce(F.sum(cut), F.lit(0.0))).first()[0]
+    kinds, distinct = float(max(every[0], 1)), every[1] + 2 * (len(languages) + 1)
+    left = F.when(F.col("n1") > 0, 1 - (F.col("n2") - F.col("n3") * float(d[2]) - F.col("n4") * float(d[3])) / F.col("n1")).otherwise(1.0)
+    told = sums.select(F.col("word").alias("w"), F.greatest("n1", F.lit(1)).cast("double").alias("all"), left.alias("left"), ((F.col("before") - cut) / kinds + F.lit(spared / kinds / distinct)).alias("lower"))
+    words = gathered.filter(F.col("kind") == WORD).join(told, F.col("word") == F.col("w")).select(F.lit(0).alias("kind"), F.explode("blocks").alias("block"), "word", "all", "left", "lower")
+    replies = gathered.filter(F.col("kind") == REPLY).select(F.lit(1).alias("kind"), "block", "reply")
+    both = words.unionByName(replies, allowMissingColumns=True).unionByName(source.withColumn("kind", F.lit(2)), allowMissingColumns=True)
     fields = "doc_id long, language int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
-    scored = space.settle(source.mapInArrow(score_rows(languages, held, model), fields), "scored")
-    space.drop("pairs")
+    scored = space.settle(both.repartitionById(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(score_rows(languages, d), fields), "scored")
+    space.drop("sums", *(f"gathered-{k}" for k in range(passes)))
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated)
     scored = scored.withColumn("base_failed", failed)
     quarter = scored.filter(~F.col("base_failed")).groupBy(F.col("language").alias("l")).agg(F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias("q"))
