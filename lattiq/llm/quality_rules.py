@@ -228,15 +228,15 @@ def score_rows(languages: dict[str, int], cuts: np.ndarray):
     return rows
 
 
-def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", word_share: float = 0.0, pair_share: float = 0.0, fence: float = 4.0, least_spread: float = 0.5, floor: float = 0.1, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
+def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", word_share: float = 0.0, pair_share: float = 0.0, fence: float = 2.0, least_spread: float = 0.5, tail: float = 0.005, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
     """Counts of each text, base_failed, kept, log_perplexity and the band it is held against.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, log_perplexity, band_low, band_high.  A language's band, over the
-    texts that the base rules pass, reaches ``fence`` times the distance of its quartiles
-    (``least_spread`` at least) above the upper one, and down to ``floor`` times the lower
-    one: a clean text with many copies in the corpus is easily foreseen, so only text with next to
-    no choice of words is too regular.  What lies outside is rejected.  Null and blank texts have zero counts, no
+    distinct texts that the base rules pass, reaches ``fence`` times the distance of its quartiles
+    (``least_spread`` at least) above the upper one, and down to its quantile ``tail``: clean texts
+    with near copies are easily foreseen and make a long lower flank, where quartiles would
+    reject a quarter of them.  What lies outside is rejected.  Null and blank texts have zero counts, no
     perplexity, and fail for want of words.  The null language is a language; languages
     with less than a thousandth of the rows share one model.  Repeated ids and rows are
     judged each, ids may be null, and other columns are not read.  Every word and pair is in the
@@ -281,9 +281,11 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     space.drop("sums", *(f"gathered-{k}" for k in range(passes)))
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated)
     scored = scored.withColumn("base_failed", failed)
-    quarter = scored.filter(~F.col("base_failed")).groupBy(F.col("language").alias("l")).agg(F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias("q"))
+    # Copies of a text have its perplexity to the last bit.
+    distinct_texts = scored.filter(~F.col("base_failed")).select(F.col("language").alias("l"), "log_perplexity").distinct()
+    quarter = distinct_texts.groupBy("l").agg(F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75), F.lit(tail)), F.lit(10_000)).alias("q"))
     wide = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(least_spread)) * fence
-    bands = quarter.select("l", (F.col("q")[0] * floor).alias("band_low"), (F.col("q")[1] + wide).alias("band_high"))
+    bands = quarter.select("l", F.col("q")[2].alias("band_low"), (F.col("q")[1] + wide).alias("band_high"))
     # A thousandth of the rows makes a language, so there are no more than a thousand and one bands.
     told = scored.join(F.broadcast(bands), F.col("language") == F.col("l"), "left")
     verdict = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))

@@ -42,3 +42,18 @@ def test_rare_words_and_pairs_are_in_the_model(spark, monkeypatch, block, part):
     docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
     got = {r.doc_id: r.log_perplexity for r in quality_rules.judged(docs).collect()}
     assert got == pytest.approx(dict(enumerate(plain_perplexity(texts))), rel=1e-9)
+
+
+def test_each_band_rejects_what_is_planted_and_leaves_clean_texts(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(400)]
+    clean = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(400)], k=120)) for _ in range(600)]
+    gibberish = [" ".join("".join(rng.choices("abcdefgh$&", k=9)) for _ in range(120)) for _ in range(8)]
+    regular = [" ".join(f"x{(j * j * 7 + j) % 60 + (j + k) % 2}" for j in range(120)) for k in range(2)]
+    texts = clean + gibberish + regular + [clean[0]] * 300
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.judged(docs, most_repeated=100).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(got[k].log_perplexity > got[k].band_high for k in range(600, 608))
+    assert any(got[k].log_perplexity < got[k].band_low for k in (608, 609)) and not got[608].kept
+    assert sum(got[k].kept for k in range(600)) >= 595
