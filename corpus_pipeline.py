@@ -21,24 +21,34 @@ from lattiq.llm.repeats import remove_repeats
 from lattiq.session import table
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row's content: ids may repeat or be null, and only rows that agree in all columns share a key."""
+    return docs.withColumn("row_key", F.xxhash64(*(F.struct(F.col(c).isNull(), F.col(c)) for c in docs.columns)))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep.  A null id can't be told from another and is judged with them: it goes."""
-    kept = judged(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    """Documents that the rules keep; rows with one id, or none, are judged each."""
+    rows = keyed(docs)
+    kept = judged(rows, id_col="row_key").filter("kept").select(F.col("doc_id").alias("kept_key")).distinct()
+    return rows.join(kept, F.col("row_key") == F.col("kept_key"), "left_semi").select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    kept = near_duplicates(docs, width=5, percent=80).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    """One row of each group of near duplicates, that with the smallest id; null ids come last."""
+    rows = keyed(docs)
+    groups = near_duplicates(rows, id_col="row_key", width=5, percent=80).select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    least = rows.select("row_key", "doc_id").join(groups, "row_key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("least"))
+    kept = least.select(F.col("least.row_key").alias("kept_key"))
+    return rows.join(kept, F.col("row_key") == F.col("kept_key"), "left_semi").dropDuplicates(["row_key"]).select(docs.columns)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand elsewhere too; n_chars follows the text."""
-    cut = remove_repeats(docs, span=200, texts=True).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept_text")
-    joined = docs.join(cut, F.col("doc_id") == F.col("cut_id"), "left")
-    text = F.when(F.col("cut_id").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
-    return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("cut_id").isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    rows = keyed(docs)
+    cut = remove_repeats(rows, id_col="row_key", span=200, texts=True).filter("n_removed > 0").select(F.col("doc_id").alias("cut_key"), "kept_text").dropDuplicates(["cut_key"])
+    joined = rows.join(cut, F.col("row_key") == F.col("cut_key"), "left")
+    text = F.when(F.col("cut_key").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
+    return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("cut_key").isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
