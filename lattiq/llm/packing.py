@@ -50,13 +50,15 @@ def piece_rows(length: int, with_ids: bool):
     return rows
 
 
-def pack(docs: DataFrame, vocabulary_file: str, *, end_id: int = 2, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special_as_text: bool = True) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_file: str, *, end_id: int = 2, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length (and ids).
 
     Documents follow each other by ascending id (null first), each with ``end_id``
     after its ids; a null or empty text is that one id.  Only the last sequence can
     be short; it is padded to ``length`` unless it already ends at a power of two.
-    Repeated ids and rows are packed as often as they come.  Other columns are not read.
+    Repeated ids and rows are packed as often as they come; a very long text fills as many sequences
+    as it needs, and an empty table gives no rows.  Names of special tokens in a text become their
+    ids unless ``special_as_text``.  Other columns are not read.
     """
     shards = write_tokens(docs, Workspace(docs.sparkSession, "packing"), "shards", vocabulary_file, end_id, id_col=id_col, text_col=text_col, special_as_text=special_as_text)
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"

@@ -38,7 +38,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) <= n:
-        size = max(2 * RUN_BYTES, n + 1)
+        size = 2 * max(RUN_BYTES, n)
         for k, base in enumerate((_BASE, _BACK)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

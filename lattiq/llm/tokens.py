@@ -24,7 +24,6 @@ from .tokenize import encoder
 
 HEAD = struct.Struct("<4sBBHQQQQ")
 SHARD_IDS = 1 << 18
-ENCODE_ROWS = 256
 
 
 class EliasFano:
@@ -107,24 +106,21 @@ def shard_rows(vocabulary, end_id: int, special_as_text: bool):
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before]), pa.array([weight]), pa.array([keys], pa.list_(pa.int64())), pa.array([pack_shard(documents, width)], pa.binary())], schema=SHARDS)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ENCODE_ROWS):
-                some = batch.slice(at, ENCODE_ROWS)
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for key, ids in zip(some.column(0).to_pylist(), words.encode(texts), strict=True):
-                    keys.append(key)
-                    documents.append(ids + end)
-                    weight += len(ids) // width + 1
-                    if weight >= SHARD_IDS:
-                        yield shard()
-                        seq, before = seq + 1, before + weight
-                        keys, documents, weight = [], [], 0
+            for key, ids in zip(batch.column(0).to_pylist(), words.encode_column(batch.column(1)), strict=True):
+                keys.append(key)
+                documents.append(ids + end)
+                weight += len(ids) // width + 1
+                if weight >= SHARD_IDS:
+                    yield shard()
+                    seq, before = seq + 1, before + weight
+                    keys, documents, weight = [], [], 0
         if documents:
             yield shard()
 
     return rows
 
 
-def write_tokens(docs: DataFrame, space: Workspace, name: str, vocabulary_file: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = True) -> DataFrame:
+def write_tokens(docs: DataFrame, space: Workspace, name: str, vocabulary_file: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """Write the token shards of ``docs`` in ascending id order (null first; equal ids by text hash).
 
     Texts are range-partitioned once, before they are encoded; partitions and the
@@ -156,13 +152,14 @@ def document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([keys.values, pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(sums, pa.int64())], schema=schema)
 
 
-def token_index(docs: DataFrame, vocabulary_file: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = True) -> DataFrame:
+def token_index(docs: DataFrame, vocabulary_file: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """Write token shards and read every document back: doc_id, start, n_tokens, ids_crc32.
 
     Each document is its text's ids and then ``end_id``; a null text counts as empty.
     ``start`` counts the ids of all documents before it, in ascending id order; null
     ids come first, and rows that share an id follow each other.  Names of special tokens in a text
-    are ordinary text.  Other columns are not read.
+    become their ids, as in a plain call of the library, unless ``special_as_text``.  A very long
+    text is one shard of its own.  An empty table gives no rows.  Other columns are not read.
     """
     shards = write_tokens(docs, Workspace(docs.sparkSession, "tokens"), "shards", vocabulary_file, end_id, id_col=id_col, text_col=text_col, special_as_text=special_as_text)
     return placed(shards).select("doc_ids", "payload", "base").mapInArrow(document_rows, "doc_id long, start long, n_tokens long, ids_crc32 long")

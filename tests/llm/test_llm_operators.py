@@ -37,7 +37,7 @@ def rows():
         words[10 + 7 * k] = "changed"
         texts.append(" ".join(words))
     texts += [prose(rng, 40) + " " + passage + " " + prose(rng, 30) for _ in range(4)]
-    texts += ["MIT License, the mit\nlicense. CC BY", "Licensed under the Apache License, Version 2.0 (GNU General Public License)", "a " * 130, "x" * 450, "😀 é" * 120]
+    texts += ["MIT License, the mit\nlicense. CC BY", "Licensed under the Apache License, Version 2.0 (GNU General Public License)", "a " * 130, "x" * 450, "😀 é" * 120, "a <|endoftext|> b"]
     out = [(k, t, rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", "b", None]), None if t is None else len(t), 7, "g", 1) for k, t in enumerate(texts)]
     out.append((3, "another text with the id three", "en", "a", 1, 7, None, None))
     out.append(out[8])
@@ -139,20 +139,20 @@ def test_suffix_order():
             assert lyndon.suffix_array(s) == sorted(range(n), key=lambda i, s=s: s[i:])
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_words_encode_like_whole_texts(name):
+def test_words_encode_like_whole_texts(name, special_as_text):
     rng = random.Random(3)
-    bits = ["a", "The", " ", "  ", "\n", " \n", "\t", "'s", "'S ", "0", "12", "é", "é", "Σ", "中", "😀", ".", ",", "#", "<|endoftext|>", "\xa0", "\x1c", "\x85", "İ", "x,", "\r\n"]
+    bits = ["<|EndOfText|>", "\u3000", "\u2028", "\u2019", "\u212a", "\x00", "10 ", "-", "\n\n", "word", "a", "The", " ", "  ", "\n", " \n", "\t", "'s", "'S ", "0", "12", "é", "é", "Σ", "中", "😀", ".", ",", "#", "<|endoftext|>", "\xa0", "\x1c", "\x85", "İ", "x,", "\r\n"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + ["", " ", "   "]
-    own, whole = encoder(open(public_tokenizers.path(name)).read()), Tokenizer.from_file(public_tokenizers.path(name))
-    whole.encode_special_tokens = True
+    own, whole = encoder(open(public_tokenizers.path(name)).read(), special_as_text), Tokenizer.from_file(public_tokenizers.path(name))
+    whole.encode_special_tokens = special_as_text
     assert own.kind != "whole"
     assert [np.frombuffer(x, own.width).tolist() for x in own.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
 def plain_ids(rows, name, end):
     whole = Tokenizer.from_file(public_tokenizers.path(name))
-    whole.encode_special_tokens = True
     return [(r[0], whole.encode(r[1] or "", add_special_tokens=False).ids + [end]) for r in rows]
 
 
