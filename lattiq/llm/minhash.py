@@ -1,17 +1,18 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
 Texts are collapsed to classes of equal shingle sets.  Each class posts itself
-under its (coordinate, value) pairs.  A pair of classes with at least ``matches``
-equal coordinates must share one of the ``coordinates - matches + 1`` rarest
-postings of either side (prefix filter over one global order), so only those are
-merged, and the frequent lists that remain are skipped.  Candidates are counted
-on whole signatures, then confirmed on full shingle sets.
-
-Groups of near copies are never expanded into rows of pairs: each class first tries
-its most central partners, and the confirmed links collapse into components.  Classes
-that met the same hub but are still apart are compared in blocks of bounded bytes, which
-give only the links they find.  Pairs of different components and hubs that share a
-prefix posting are tried one by one after that.
+under its (coordinate, value) pairs, whose values have 64 bits, so that lists meet by
+what texts share and not by chance.  Two classes with at least ``matches`` equal
+coordinates must share one of the rarest postings of either side: of a class's shared
+postings all but ``matches - 1``, in one global order, are its prefix.  Only prefix lists are
+merged, the frequent rest is skipped, and of lists with the same members one is kept.
+
+Nothing is ever expanded into rows of pairs.  A list is one block (or several, if it is
+long), in which classes are compared on signatures of 256 coordinates of a byte; a block
+gives no more links than join what it holds.  Candidates so linked are groups, and a group is
+compared in the same way once more, now confirmed on full shingle sets.  A group of more
+than one block goes through two rounds: every block with the group's most central class first,
+then pairs of blocks that still hold different components.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan as T
@@ -29,10 +30,12 @@ from .durable import Workspace
 
 _rng = np.random.default_rng(7)
 COORDINATES = 64
+FINE = 256
 BLOCK_BYTES = 1 << 23
 BLOCK_ROWS = 4096
-_SCALE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFT = _rng.integers(0, 2**63, 256, dtype=np.uint64)
+SMALL = 8
+_SCALE = _rng.integers(1, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFT = _rng.integers(0, 2**63, FINE, dtype=np.uint64)
 
 
 def _distinct(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -53,19 +56,30 @@ def _set_ids(own: np.ndarray) -> tuple[int, int]:
     return one - (one >> 63 << 64), two - (two >> 63 << 64)
 
 
+def signatures(hashes: np.ndarray, heads: np.ndarray, coordinates: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit minima of ``coordinates`` permutations, one byte of each of ``FINE`` minima) of the sets that begin at ``heads``."""
+    coarse = np.empty((len(heads), coordinates), np.uint64)
+    fine = np.empty((len(heads), FINE), np.uint8)
+    for k in range(coordinates):
+        coarse[:, k] = np.minimum.reduceat(hashes * _SCALE[k] + _SHIFT[k], heads)
+        fine[:, k] = (T.mix(coarse[:, k]) >> np.uint64(56)).astype(np.uint8)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for k in range(coordinates, FINE):
+        low = np.minimum.reduceat(short * np.uint32(_SCALE[k] & np.uint64(0xFFFFFFFF)) + np.uint32(_SHIFT[k] & np.uint64(0xFFFFFFFF)), heads)
+        fine[:, k] = ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+    return coarse, fine
+
+
 def signature_rows(width: int, coordinates: int, key: pa.DataType):
-    schema = pa.schema([("doc_id", key), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", key), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.list_(pa.int64())), ("fine", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, s1, s2, sig = [], [], [], []
+            n, s1, s2, sig, fine = [], [], [], [], []
             for _, hashes, start, size in _distinct(batch.column(1), width):
                 full = np.flatnonzero(np.diff(start))
-                low = np.empty((len(full), coordinates), np.uint32)
                 if len(full):
-                    heads = start[:-1][full]
-                    for k in range(coordinates):
-                        low[:, k] = np.minimum.reduceat(((hashes * _SCALE[k] + _SHIFT[k]) >> np.uint64(32)).astype(np.uint32), heads)
+                    coarse, bytes_ = signatures(hashes, start[:-1][full], coordinates)
                 at = 0
                 for d in range(size):
                     own = _set_of(hashes[start[d] : start[d + 1]])
@@ -74,11 +88,13 @@ def signature_rows(width: int, coordinates: int, key: pa.DataType):
                     s1.append(one)
                     s2.append(two)
                     if len(own):
-                        sig.append(low[at].tobytes())
+                        sig.append(coarse[at].view(np.int64))
+                        fine.append(bytes_[at].tobytes())
                         at += 1
                     else:
                         sig.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), T.blobs(sig)], schema=schema)
+                        fine.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sig, pa.list_(pa.int64())), T.blobs(fine)], schema=schema)
 
     return rows
 
@@ -102,81 +118,163 @@ def set_rows(width: int):
     return rows
 
 
-def matched_rows(matches: int):
-    """Pairs whose signatures agree in at least ``matches`` coordinates, with that count."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32())])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+def agreeing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """In how many of their bytes the rows of two byte tables agree."""
+    return np.bitwise_count(np.packbits(one == two, axis=1).view(np.uint64)).sum(1, dtype=np.int64)
+
+
+def fixed_rows(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    """A binary column of ``size`` bytes a row as a table of bytes."""
+    parts = [np.frombuffer(c.buffers()[2], np.uint8)[(at := np.frombuffer(c.buffers()[1], np.int32)[c.offset :])[0] : at[len(c)]] for c in column.chunks if len(c)]
+    return np.concatenate(parts).reshape(-1, size)
+
+
+class Block:
+    """Classes that are compared with each other; links between those of different components, as few as join them."""
+
+    def __init__(self, table: pa.Table, least: int, percent: int | None):
+        self.node, comp, self.n = (table[c].to_numpy() for c in ("node", "comp", "n"))
+        self.fine = fixed_rows(table["fine"], FINE)
+        self.least, self.percent = least, percent
+        self.sets = None if percent is None else [np.frombuffer(x.as_buffer(), np.uint64) for c in table["own"].chunks for x in c]
+        self.comp = comp
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def linked(self, r: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others`` share enough of their sets with ``r``."""
+        mine, sizes = self.sets[r], np.array([len(self.sets[o]) for o in others])
+        if not len(sizes):
+            return np.zeros(0, bool)
+        every = np.concatenate([self.sets[o] for o in others])
+        at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+        shared = np.add.reduceat((mine[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        return 100 * shared >= self.percent * (sizes + len(mine) - shared)
+
+    def small(self, group: np.ndarray, few: np.ndarray) -> None:
+        """All pairs inside groups of at most ``SMALL``, many groups at a time."""
+        for d in range(1, SMALL):
+            at = np.flatnonzero((group[:-d] == group[d:]) & few[:-d]) if len(group) > d else np.zeros(0, np.int64)
+            at = at[self.comp[at] != self.comp[at + d]]
+            if self.percent is not None:
+                at = at[100 * np.minimum(self.n[at], self.n[at + d]) >= self.percent * np.maximum(self.n[at], self.n[at + d])]
+            for low in range(0, len(at), 1 << 15):
+                a = at[low : low + (1 << 15)]
+                a = a[agreeing(self.fine[a], self.fine[a + d]) >= self.least]
+                if self.percent is not None:
+                    a = a[np.array([self.linked(x, np.array([x + d]))[0] for x in a.tolist()], bool)]
+                self.found.append((self.node[a], self.node[a + d]))
+
+    def large(self, rows: np.ndarray) -> None:
+        """One group: everyone not yet in the component of the first is compared with all others of other components."""
+        fine, n = self.fine[rows], self.n[rows]
+        place = np.unique(self.comp[rows], return_inverse=True)[1]
+        some = rows[:: max(1, len(rows) // 16)]
+        first = int(np.argmax(sum(agreeing(fine, self.fine[s][None]) for s in some)))
+        a, b = [], []
+        for r in [first, *range(len(rows))]:
+            if a and place[r] == place[first]:
                 continue
-            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for k in (2, 3))
-            agree = (one == two).sum(1).astype(np.int32)
-            keep = np.flatnonzero(agree >= matches)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(agree[keep])], schema=schema)
-
-    return rows
-
+            others = np.flatnonzero(place != place[r])
+            if self.percent is not None:
+                others = others[100 * np.minimum(n[others], n[r]) >= self.percent * np.maximum(n[others], n[r])]
+            agree = agreeing(fine[others], fine[r][None])
+            others = others[agree >= self.least]
+            if self.percent is not None:
+                others = others[np.argsort(-agree[agree >= self.least], kind="stable")]
+            while len(others):
+                some, others = others[:64], others[64:]
+                if self.percent is not None:
+                    some = some[self.linked(rows[r], rows[some])]
+                for o in some.tolist():
+                    if place[o] != place[r]:
+                        a.append(rows[r])
+                        b.append(rows[o])
+                        place[place == place[o]] = place[r]
+                others = others[place[others] != place[r]]
+        self.found.append((self.node[np.array(a, np.int64)], self.node[np.array(b, np.int64)]))
+
+
+def block_rows(least: int, percent: int | None):
+    """Links of each block; rows arrive ordered by block."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def linked_rows(percent: int):
-    """Pairs whose full sets share at least ``percent`` in the hundred of their union."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        block, part = table["block"].to_numpy(), table["part"].to_numpy()
+        new = np.concatenate([[True], (block[1:] != block[:-1]) | (part[1:] != part[:-1])])
+        group = np.cumsum(new) - 1
+        sizes = np.bincount(group)
+        own = Block(table, least, percent)
+        own.small(group, sizes[group] <= SMALL)
+        ends = np.cumsum(sizes)
+        for g in np.flatnonzero(sizes > SMALL).tolist():
+            own.large(np.arange(ends[g] - sizes[g], ends[g]))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in own.found)]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
-                    linked.append(False)
-                    continue
-                both = np.sort(np.concatenate([one, two]))
-                shared = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], schema=schema)
+            if not batch.num_rows:
+                continue
+            own = pa.Table.from_batches([batch])
+            held = own if held is None else pa.concat_tables([held, own])
+            block, part = held["block"].to_numpy(), held["part"].to_numpy()
+            new = np.flatnonzero((block[1:] != block[:-1]) | (part[1:] != part[:-1]))
+            if len(new):
+                yield solve(held.slice(0, new[-1] + 1))
+                held = held.slice(new[-1] + 1)
+        if held is not None:
+            yield solve(held)
 
     return rows
 
 
-def block_links(matches: int, percent: int):
-    """Links between different components inside a block, as few as join them; any pair that is left out is in one component by then or no link."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def linked_in_blocks(members: DataFrame, payload: DataFrame, central: DataFrame, weight: Column, space: Workspace, name: str, least: int, percent: int | None) -> DataFrame:
+    """Links (a, b) that join whatever is alike within the groups of ``members`` (block, node).
 
-    def links(block: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
-        node, comp = (block[c].to_numpy() for c in ("node", "comp"))
-        side = block["side"].to_numpy()
-        signs = np.frombuffer(b"".join(block["sig"].to_pylist()), np.uint32).reshape(len(node), -1)
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block["own"]]
-        sizes = np.array([len(x) for x in sets])
-        place = np.unique(comp, return_inverse=True)[1]
-        two_sided = (side == 2).any()
-        found = []
-        # A pair of different components has a class outside the largest one.
-        first = place.copy()
-        largest = np.bincount(place).argmax()
-        for r in np.flatnonzero(first != largest):
-            others = np.flatnonzero(place != place[r])
-            others = others[(others > r) | (first[others] == largest)]
-            others = others[side[others] != side[r]] if two_sided else others
-            others = others[100 * np.minimum(sizes[others], sizes[r]) >= percent * np.maximum(sizes[others], sizes[r])]
-            agree = (signs[others] == signs[r]).sum(1)
-            keep = agree >= matches
-            others, agree = others[keep], agree[keep]
-            for o in others[np.argsort(-agree, kind="stable")]:
-                if place[o] == place[r]:
-                    continue
-                both = np.sort(np.concatenate([sets[r], sets[o]]))
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(both) - shared):
-                    found.append((node[r], node[o]))
-                    place[place == place[o]] = place[r]
-        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=schema)
-
-    return links
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, matches: int = 36, coordinates: int = COORDINATES, rounds: int = 2) -> DataFrame:
+    ``payload`` has for each node n, fine and, if ``percent`` is given, own; ``weight`` is a row's bytes.  A group of more than about
+    ``BLOCK_ROWS`` rows or ``BLOCK_BYTES`` bytes is cut into parts, each with the group's
+    most central class; pairs of parts follow where components are still apart, except of parts that are
+    of one component as a whole.  Rows that go around are then a part's, once for each
+    part it meets; a group whose classes are all linked never meets again.
+    """
+    columns = ["block", "part", "node", "comp", "n", "fine"] + ["own"] * (percent is not None)
+    ways = F.ceil(F.greatest(F.sum("weight") / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)).cast("int")
+
+    def solved(rows: DataFrame, step: str) -> DataFrame:
+        asked = rows.select(columns).repartition("block", "part").sortWithinPartitions("block", "part", "node")
+        return space.settle(asked.mapInArrow(block_rows(least, percent), "a long, b long"), f"{name}-{step}")
+
+    weighed = members.join(payload.select("node", weight.alias("weight")), "node").join(central, "node")
+    groups = space.settle(weighed.groupBy("block").agg(ways.alias("ways"), F.max(F.struct("central", "node"))["node"].alias("head"), F.sum("weight").alias("weight")), f"{name}-groups")
+    long = groups.filter("ways > 1")
+    many = not long.isEmpty()
+    whole = members.join(groups.select("block", "ways"), "block").select("block", F.pmod(F.xxhash64("node"), F.col("ways")).alias("part"), "node")
+    if many:
+        heads = long.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways").cast("long") - 1)).alias("part"), F.col("head").alias("node"))
+        whole = whole.unionByName(heads).distinct()
+    links = solved(whole.join(payload, "node").withColumn("comp", F.col("node")), "first")
+    if not many:
+        return links
+    placed = components(links, space, f"{name}-placed")
+    told = members.join(long.select("block"), "block").join(payload.select("node", weight.alias("weight")), "node").join(placed, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    told = space.settle(told, f"{name}-told")
+    apart = told.groupBy("block", "comp").agg(ways.alias("ways"), F.count("*").alias("rows"), F.sum("weight").alias("weight"))
+    # Components of a block's size have parts of their own; the small ones share theirs.
+    rest = apart.filter("ways = 1").groupBy("block").agg(F.ceil(F.greatest(F.sum("weight") / BLOCK_BYTES, F.sum("rows") / BLOCK_ROWS)).cast("int").alias("shared"))
+    own = F.when(F.col("ways") > 1, F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.col("ways")))).otherwise(F.pmod(F.xxhash64("comp"), F.coalesce("shared", F.lit(1))).cast("long"))
+    spread = told.join(apart.select("block", "comp", "ways"), ["block", "comp"]).join(rest, "block", "left")
+    spread = space.settle(spread.select("block", "node", "comp", own.alias("own_part"), F.when(F.col("ways") > 1, F.col("comp")).alias("pure")), f"{name}-parts")
+    parts = spread.groupBy("block", "own_part").agg(F.max("pure").alias("pure"))
+    one, two = (parts.select("block", F.col("own_part").alias(f"p{k}"), F.col("pure").alias(f"pure{k}")) for k in (1, 2))
+    met = one.join(two, "block").filter("p1 <= p2 and (pure1 is null or pure2 is null or pure1 <> pure2)")
+    met = met.select("block", "p1", "p2", F.xxhash64("p1", "p2").alias("part"))
+    sides = met.select("block", "part", F.explode(F.array_distinct(F.array("p1", "p2"))).alias("own_part"))
+    rows = spread.select("block", "own_part", "node", "comp").join(sides, ["block", "own_part"]).join(payload, "node")
+    return links.unionByName(solved(rows, "second"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, matches: int = 36, coordinates: int = COORDINATES, least: int = 172) -> DataFrame:
     """Link documents whose word-shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text with fewer
@@ -186,101 +284,45 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null or blank texts have no shingles and stand alone.  Rows that repeat an id
     are documents of their own.  A null id is larger than any other, so it names a
-    component only when all its members are null; kept is then null.  Columns other
+    component only when all its members are null; kept is then null.  A very long text is
+    a large set like any other, and an empty table gives no rows.  Columns other
     than the two named are not read.  At similarity 0.8 a pair agrees in 51 of 64 coordinates on
-    average; fewer than 36 has a probability below 1e-5, and less above 0.8.
+    average and fewer than 36 has a probability below 1e-5; in 256 it agrees in 205, fewer than
+    172 below 1e-6.  Both are less likely above 0.8.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "minhash")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = space.settle(source.mapInArrow(signature_rows(width, coordinates, pa.int64()), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "signed")
+    signed = space.settle(source.mapInArrow(signature_rows(width, coordinates, pa.int64()), "doc_id long, n_shingles long, s1 long, s2 long, sig array<long>, fine binary"), "signed")
     full = signed.filter("n_shingles > 0")
-    classes = space.settle(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")).withColumn("node", F.monotonically_increasing_id()), "classes")
-    # F.hex keeps the coordinate values sortable and exact inside one long key.
-    posted = classes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(coordinates - 1)), lambda k: F.substring(F.hex("sig"), k * 8 + 1, 8))).alias("k", "v")).select("node", (F.conv("v", 16, 10).cast("long") * 256 + F.col("k")).alias("key"))
-    posted = space.settle(posted, "posted")
-    sizes = posted.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    ranked = posted.join(sizes, "key")
+    classes = space.settle(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("fine").alias("fine"), F.first("n_shingles").alias("n")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    posted = classes.select("node", F.posexplode("sig").alias("k", "v")).select("node", F.xxhash64("k", "v").alias("key"))
+    sizes = space.settle(posted.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     mine = Window.partitionBy("node")
-    ranked = ranked.withColumn("shared", F.count("*").over(mine)).withColumn("central", F.sum("size").over(mine)).withColumn("place", F.row_number().over(mine.orderBy("size", "key")))
-    prefix = space.settle(ranked.filter((F.col("shared") >= matches) & (F.col("place") <= F.col("shared") - matches + 1)).select("key", "node", "central"), "prefix")
-    space.drop("posted")
-
-    asked = classes.join(prefix.select("node").distinct(), "node").select("node", "s1", "s2", "rep")
-    found = asked.join(source, F.col("rep").eqNullSafe(F.col("doc_id"))).select("node", "s1", "s2", "text")
-    sets = space.settle(found.mapInArrow(set_rows(width), "node long, own binary").dropDuplicates(["node"]), "sets")
-    signatures = space.settle(classes.join(prefix.select("node").distinct(), "node", "left_semi").select("node", "sig", "n"), "signatures")
-
-    one, two = (signatures.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    own, other = (sets.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
-
-    able = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-
-    def agreed(pairs: DataFrame, least: int = matches) -> DataFrame:
-        sized = pairs.join(one, "a").join(two, "b")
-        sized = sized.filter(able) if least == matches else sized
-        return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(matched_rows(least), "a long, b long, agree int")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "own_a", "own_b").mapInArrow(linked_rows(percent), "a long, b long, linked boolean")
-
-    def blocks(hubs: DataFrame, placed: DataFrame) -> DataFrame:
-        """Links inside the hubs' groups, compared in blocks of at most about ``BLOCK_BYTES`` and ``BLOCK_ROWS`` or pairs of such blocks."""
-        named = hubs.join(placed, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(sets, "node")
-        sums = named.groupBy("hub").agg(F.countDistinct("comp").alias("comps"), F.ceil(F.greatest(F.sum(F.octet_length("own")) / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)).cast("int").alias("m")).filter("comps > 1")
-        cut = named.join(sums, "hub").join(signatures.select("node", "sig"), "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-        # A chunk stands once alone and once beside every other, as the first or the second of the two.
-        spread = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        spread = spread.select("hub", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"), "node", "comp", "sig", "own")
-        return spread.groupBy("hub", "p", "q").applyInArrow(block_links(matches, percent), "a long, b long")
-
-    links = tried = hubs = None
-    placed = prefix.select("node", F.col("node").alias("comp")).distinct()
-    for step in range(rounds + 1):
-        here = prefix.join(placed, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        heads = here.groupBy("key", "comp").agg(F.max(F.struct("central", "node")).alias("head"))
-        mixed = heads.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("head", "comp")).alias("top")).filter("n > 1")
-        if step < rounds:
-            # Everyone meets the most central class of its posting lists, outside its own component.
-            star = here.join(mixed.select("key", F.col("top.head.node").alias("hub"), F.col("top.comp").alias("hub_comp")), "key").filter("comp <> hub_comp")
-            pairs = star.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-        else:
-            # What is left: pairs of different components under one posting.
-            lists = space.settle(here.join(mixed.select("key"), "key").join(hubs, "node", "left").select("key", "comp", "node", "hub"), "lists")
-            keyed = lists.select("key", "comp").distinct()
-            met = keyed.select("key", F.col("comp").alias("c1")).join(keyed.select("key", F.col("comp").alias("c2")), "key").filter("c1 < c2")
-            left = lists.select("key", F.col("comp").alias("c1"), F.col("node").alias("x"), F.col("hub").alias("h1"))
-            right = lists.select(F.col("key").alias("k2"), F.col("comp").alias("d2"), F.col("node").alias("y"), F.col("hub").alias("h2"))
-            apart = F.coalesce(F.col("h1") != F.col("h2"), F.lit(True))
-            pairs = met.join(left, ["key", "c1"]).join(right, (F.col("key") == F.col("k2")) & (F.col("c2") == F.col("d2")) & apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, (pairs.a == tried.x) & (pairs.b == tried.y), "left_anti")
-        if step == 0:
-            # A class belongs to the hub it is most like, even where the two are too unlike for a link:
-            # what stands between its copies is then found inside the hub's group.
-            close = space.settle(agreed(pairs, matches // 2).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", "best.b", "best.agree"), "close")
-            hubs = close.select(F.col("a").alias("node"), F.col("b").alias("hub"))
-            # A hub that found none more like itself leads its own group.
-            hubs = hubs.unionByName(close.select(F.col("b").alias("node"), F.col("b").alias("hub")).distinct().join(hubs.select("node"), "node", "left_anti"))
-            close = close.filter(F.col("agree") >= matches)
-        else:
-            close = agreed(pairs)
-            if step < rounds:
-                close = close.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
-        seen = space.settle(confirmed(close), f"seen-{step}")
-        both = seen.select(F.col("a").alias("x"), F.col("b").alias("y")).union(seen.select("b", "a"))
-        tried = both if tried is None else tried.union(both)
-        more = seen.filter("linked").select("a", "b")
-        links = more if links is None else links.unionByName(more)
-        if step == rounds and more.isEmpty():
-            break
-        placed = components(links, space, f"components-{step}")
-        if step == rounds - 1:
-            links = links.select("a", "b").unionByName(space.settle(blocks(hubs, placed), "within"))
-            placed = components(links, space, "components-within")
-    smallest = classes.join(placed, "node").groupBy("comp").agg(F.min("rep").alias("component"))
-    named = classes.join(placed, "node", "left").join(smallest, "comp", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
+    ranked = posted.join(sizes, "key").withColumn("shared", F.count("*").over(mine)).filter(F.col("shared") >= matches)
+    ranked = ranked.withColumn("central", F.sum("size").over(mine)).withColumn("place", F.row_number().over(mine.orderBy("size", "key")))
+    prefix = space.settle(ranked.filter(F.col("place") <= F.col("shared") - matches + 1).select("key", "node", "central"), "prefix")
+    central = space.settle(prefix.groupBy("node").agg(F.max("central").alias("central")), "central")
+    # Lists with the same members say the same; two independent hashes of a set tell them apart.
+    lists = prefix.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("n > 1")
+    merged = lists.groupBy("n", "x", "y").agg(F.min("key").alias("block"))
+    members = space.settle(prefix.join(merged, F.col("key") == F.col("block")).select("block", "node"), "members")
+    space.drop("sizes", "prefix")
+
+    signs = classes.select("node", "n", "fine").join(central.select("node"), "node", "left_semi")
+    signs = space.settle(signs, "signs")
+    alike = linked_in_blocks(members, signs, central, F.lit(FINE), space, "alike", least, None)
+    grouped = components(alike, space, "grouped").select(F.col("comp").alias("block"), "node")
+    asked = classes.select("node", "s1", "s2", "rep", "n", "fine").join(grouped.select("node"), "node")
+    asked = space.settle(asked, "asked")
+    found = asked.select("node", "s1", "s2", "rep").join(source, F.col("rep").eqNullSafe(F.col("doc_id"))).select("node", "s1", "s2", "text")
+    sets = found.mapInArrow(set_rows(width), "node long, own binary").groupBy("node").agg(F.first("own").alias("own"))
+    held = space.settle(asked.select("node", "n", "fine").join(sets, "node"), "held")
+    links = linked_in_blocks(grouped, held, central, F.octet_length("own"), space, "links", least, percent)
+    placed = components(links, space, "placed")
+    smallest = classes.select("node", "rep").join(placed, "node").groupBy("comp").agg(F.min("rep").alias("component"))
+    named = classes.select("node", "s1", "s2", "rep").join(placed, "node", "left").join(smallest, "comp", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     named = space.settle(named, "named")
     alone = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    joined = full.join(named, ["s1", "s2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    joined = full.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -89,22 +89,28 @@ def test_near_duplicates(docs, rows, width):
     assert got == want
 
 
-def test_blocks_of_one_hub_agree_with_one_block(spark):
+@pytest.mark.parametrize("block_bytes, block_rows", [(1 << 23, 4096), (8000, 4096), (1 << 23, 5), (20_000, 9)])
+def test_parts_of_a_group_agree_with_all_pairs(spark, monkeypatch, block_bytes, block_rows):
     rng = random.Random(9)
     base = prose(rng, 120).split(" ")
     rows = []
-    for k in range(60):
+    for k in range(90):
         words = list(base)
         for _ in range(rng.randint(0, 9)):
             words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
         rows.append((k, " ".join(words)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    whole = {tuple(r) for r in minhash.near_duplicates(docs, width=4).collect()}
-    before, minhash.BLOCK_BYTES = minhash.BLOCK_BYTES, 8000
-    try:
-        assert {tuple(r) for r in minhash.near_duplicates(docs, width=4).collect()} == whole
-    finally:
-        minhash.BLOCK_BYTES = before
+    sets = [shingle_set(t, 4) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    assert 3 < len(set(root)) < 60
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block_rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
 
 
 def bytes_left(rows, span):
