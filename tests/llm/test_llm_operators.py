@@ -127,7 +127,7 @@ def bytes_left(rows, span):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("hot", [20_000, 1, 3])
 def test_repeats(docs, rows, hot):
     before, repeats.HOT = repeats.HOT, hot
     try:
@@ -137,6 +137,20 @@ def test_repeats(docs, rows, hot):
     assert got == bytes_left(rows, 200)
 
 
+def test_repeats_come_from_the_suffix_order():
+    """Without the order nothing is found: each cut's neighbours are then others."""
+    rng = random.Random(2)
+    passage = prose(rng, 60).encode()
+    cuts = [prose(rng, 30).encode()[-90 - k :] + passage[:260] + prose(rng, 30).encode()[:80] for k in range(6)]
+    keys, leads, once = np.zeros(6, np.int64), np.array([90 + k for k in range(6)]), np.zeros(6, bool)
+    found = repeats.repeated_starts(keys, leads, cuts, once, 200)
+    assert all(set(range(90 + k, 90 + k + 61)) <= set(x.tolist()) for k, x in enumerate(found))
+    shuffled = lambda s: sorted(range(len(s)), key=lambda i: hash((i * 2654435761) % 2**32))
+    lost = repeats.repeated_starts(keys, leads, cuts, once, 200, order_of=shuffled)
+    assert sum(map(len, lost)) < 0.2 * sum(map(len, found))
+    assert sum(map(len, repeats.repeated_starts(keys, leads, cuts, ~once, 200, order_of=shuffled))) == sum(len(c) - 199 for c in cuts)
+
+
 def test_suffix_order():
     rng = random.Random(1)
     for n in [*range(12), 200]:
