@@ -26,7 +26,7 @@ from .durable import Workspace
 from .lyndon import suffix_array
 
 GRAM = 32
-GRAIN = 16
+GRAIN = 32
 EDGE = 4
 BLOCK = 1 << 20
 HOT = 20_000
