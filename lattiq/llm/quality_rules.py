@@ -1,152 +1,264 @@
 """Quality rules: counts of each text, and perplexity under a modified Kneser-Ney model of the whole corpus.
 
 Every word and every pair of words of all documents, by language, is in the model,
-however rare.  Documents are dealt into blocks of bounded size; a block's distinct
-pairs and words go to partitions by hash, which sum them over all blocks, gather what
-words need and send each block the counts of its own pairs.  So neither the driver
-nor a worker ever holds more of the model than one block or one partition needs.
-A pair that occurs once has no share of its own, so only counts of two and more are sent.
+however rare.  Texts are read once and written as blocks of bounded size: a sorted array of word
+hashes and each word's index in it.  What a block needs from the corpus it asks for in
+sorted hash arrays, one for each range of hashes, and the answers come back in the same
+order, so they carry no keys: first how often each of its pairs occurs in all blocks, then what
+all blocks know of each of its words.  Pairs are asked for a range of their hashes at a time and blocks meet their
+answers a share at a time, so that shuffle files never hold all of either.  Neither the driver nor
+a worker ever holds more than one block or one range.  Hashes have 14 bits more than the
+corpus' bytes have, so that few kinds in ten thousand meet by chance, at any size.
+A pair that occurs once has no share of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
+import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from . import textscan as T
 from .docstats import base
 from .durable import Workspace, parts
 
-LANGUAGE_SHARE = 1e-3
-HOLD = 1 << 21
 BLOCK_BYTES = 1 << 24
-#: Pairs are counted a part of their hashes at a time, so that shuffle files of all pairs never stand together.
-PASS_BYTES, MOST_PASSES = 1 << 26, 4
-COUNTS, STAT, WORD, REPLY = range(4)
+PASSES, SHARES = 3, 3
+COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+BODY, PAIRS, WORDS, SUMS = range(4)
+HEAD = struct.Struct("<BQQ")
 U64 = np.uint64
 
 
-def language_ids(column: pa.Array, languages: dict[str, int]) -> np.ndarray:
-    """Number of each row's language; all that are rare share the last."""
-    return np.array([languages.get("" if x is None else x, len(languages)) for x in column.to_pylist()], np.int64)
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Unsigned integers as compressed byte planes, one array after another."""
+    out = []
+    for a in arrays:
+        a = np.ascontiguousarray(a, np.uint64)
+        width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+        body = pa.compress(a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), codec="zstd", asbytes=True)
+        out += [HEAD.pack(width, len(a), len(body)), body]
+    return b"".join(out)
+
+
+def unsqueeze(packed: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(packed):
+        width, n, size = HEAD.unpack_from(packed, at)
+        at += HEAD.size
+        raw = pa.decompress(packed[at : at + size], width * n, codec="zstd", asbytes=True)
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+        out.append(wide.view(np.uint64).ravel())
+        at += size
+    return out
+
+
+def bins(width: int, many: int) -> np.ndarray:
+    """The first hash of each of ``many`` equal ranges of hashes of ``width`` bits."""
+    return np.array([(k << width) // many for k in range(many)], np.uint64)
+
+
+def language_hash(name: str) -> np.uint64:
+    return U64(int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+
+
+class Body:
+    """A block's texts: ``words`` (sorted hashes, beginnings of languages among them), and for each word in a row the indexes of it and of the one before."""
+
+    def __init__(self, packed: bytes, width: int):
+        self.width = width
+        words, word, before, self.sizes = unsqueeze(packed)
+        self.words = np.cumsum(words, dtype=np.uint64)
+        self.word, self.before = word.astype(np.int64), before.astype(np.int64)
+        # A word's predecessor is the word in front of it, but for the first of a text.
+        first = np.cumsum(self.sizes).astype(np.int64) - self.sizes.astype(np.int64)
+        starts = self.before
+        self.before = np.empty(len(self.word), np.int64)
+        self.before[1:] = self.word[:-1]
+        full = self.sizes > 0
+        self.before[first[full]] = starts[full]
+
+    @staticmethod
+    def pack(keys: list[np.ndarray], starts: list[np.ndarray], sizes: list[np.ndarray]) -> bytes:
+        keys, starts, sizes = (np.concatenate(x) for x in (keys, starts, sizes))
+        codes, distinct = pd.factorize(np.concatenate([keys, starts]))
+        order = np.argsort(distinct)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        line = distinct[order].astype(np.uint64)
+        index = rank[codes]
+        return squeeze(np.diff(line, prepend=U64(0)), index[: len(keys)], index[len(keys) :], sizes)
+
+    def pairs(self, **more) -> tuple[np.ndarray, ...]:
+        """Sorted distinct pair hashes, as ``np.unique`` gives them."""
+        return np.unique(T.mix(self.words[self.before] * U64(0x9E3779B97F4A7C15) + self.words[self.word]) >> U64(64 - self.width), **more)
+
+
+def body_rows(width: int, block_bytes: int):
+    """Blocks of a partition's documents: their counts (``meta``) and their words."""
+    meta = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((x, pa.int64()) for x in COUNTED)])
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, weight = TaskContext.get().partitionId(), 0, 0
+        tables, keys, starts, sizes = [], [], [], []
+        known: dict[str, np.uint64] = {}
+
+        def block() -> pa.RecordBatch:
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, meta, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for t in tables:
+                    out.write_batch(t)
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([sink.getvalue()], pa.binary()), pa.array([Body.pack(keys, starts, sizes)], pa.binary())], names=["block", "meta", "payload"])
+
+        for batch in batches:
+            names = batch.column(2).to_pylist()
+            for n in set(names):
+                known.setdefault(n, language_hash(n))
+            of_language = np.array([known[n] for n in names], np.uint64)
+            for run in T.runs(batch.column(1)):
+                counts, hashes, first = base(run)
+                own = of_language[run.first : run.first + run.size]
+                words = np.diff(first)
+                keys.append(T.mix(hashes + np.repeat(own, words) * U64(0x9E3779B97F4A7C15)) >> U64(64 - width))
+                starts.append(T.mix(own * U64(0xC2B2AE3D27D4EB4F) + U64(1)) >> U64(64 - width))
+                sizes.append(words)
+                tables.append(pa.RecordBatch.from_arrays([batch.column(0).slice(run.first, run.size), batch.column(2).slice(run.first, run.size), *(pa.array(counts[x].astype(np.int64)) for x in COUNTED)], schema=meta))
+                weight += len(run.data)
+                if weight >= block_bytes:
+                    yield block()
+                    seq, weight = seq + 1, 0
+                    tables, keys, starts, sizes = [], [], [], []
+        if tables:
+            yield block()
 
-def word_keys(run: T.Run, of_language: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of language and word, document, first indexes) of a run's words."""
-    hashes, first = T.words(run)
-    of = np.repeat(np.arange(run.size), np.diff(first))
-    return T.mix(hashes + (of_language[run.first : run.first + run.size][of].astype(np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15)), of, first
+    return rows
 
 
-def pair_rows(run: T.Run, of_language: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word before, word, document) of a run's words; a text's first word stands after its language's beginning."""
-    keys, of, first = word_keys(run, of_language)
-    before = np.empty(len(keys), np.uint64)
-    before[1:] = keys[:-1]
-    full = np.diff(first) > 0
-    before[first[:-1][full]] = T.mix((of_language[run.first : run.first + run.size][full].astype(np.uint64) + U64(1)) * U64(0xC2B2AE3D27D4EB4F))
-    return before, keys, of
+ASKED = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
+ASKED_SQL = "part int, block long, payload binary"
+ANSWERED = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("payload", pa.binary()), ("sums", pa.list_(pa.int64()))])
+ANSWERED_SQL = "kind int, block long, part int, payload binary, sums array<long>"
 
 
-def pair_keys(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return T.mix(before * U64(0x9E3779B97F4A7C15) + keys)
+def asked(block: int, hashes: np.ndarray, columns: list[np.ndarray], first: np.ndarray, low: int = 0) -> pa.RecordBatch:
+    """A block's sorted hashes with their columns, one row for each range that has some; ``low`` numbers the first."""
+    at = np.append(np.searchsorted(hashes, first), len(hashes)).tolist()
+    out = [(low + k, block, squeeze(np.diff(hashes[a:b], prepend=first[k]), *(c[a:b] for c in columns))) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else ((), (), ()), ASKED, strict=True)], schema=ASKED)
 
 
-def tally_rows(languages: dict[str, int], part: int, ways: int):
-    """Distinct pairs of each block whose hash is in one of ``ways`` parts, with counts; with the first part also its words, with count 0."""
+def pair_rows(width: int, passes: int, ways: int, step: int):
+    """How often each pair of each block occurs there; those whose hash is in the ``step``-th of ``passes`` ranges."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        block, size = None, 0
+        first = bins(width, passes * ways)[step * ways : step * ways + ways]
+        end = bins(width, passes * ways)[step * ways + ways] if step + 1 < passes else None
+        for batch in batches:
+            for block, packed in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+                hashes, n = Body(packed, width).pairs(return_counts=True)
+                low, high = np.searchsorted(hashes, first[0]), len(hashes) if end is None else np.searchsorted(hashes, end)
+                yield asked(block, hashes[low:high], [n[low:high]], first, step * ways)
 
-        def take() -> Iterator[pa.RecordBatch]:
-            before, keys, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, at, n = np.unique(hashes, return_index=True, return_counts=True)
-            yield batch_of(before[at], keys[at], n)
-            held.clear()
+    return rows
+
+
+def answered_rows(width: int, many: int, solve):
+    """Answers to all that is asked of one range of hashes at a time; rows arrive ordered by range and block."""
 
-        def batch_of(before, keys, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block, np.int32)), pa.array(T.signed(before)), pa.array(T.signed(keys)), pa.array(n.astype(np.int64))], names=["block", "a", "b", "n"])
+    def answer(part: int, blocks: list[int], packed: list[bytes]) -> pa.RecordBatch:
+        first = bins(width, many)[part]
+        told = [unsqueeze(x) for x in packed]
+        hashes = np.concatenate([np.cumsum(x[0], dtype=np.uint64) + first for x in told])
+        columns = [np.concatenate([x[k] for x in told]).astype(np.int64) for k in range(1, len(told[0]))]
+        kind, replies, sums = solve(hashes, columns)
+        ends = np.cumsum([len(x[0]) for x in told]).tolist()
+        out = [(kind, b, part, squeeze(*(r[low:high] for r in replies)), None) for b, low, high in zip(blocks, [0, *ends], ends, strict=False)]
+        out.append((SUMS, 0, part, None, sums))
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), ANSWERED, strict=True)], schema=ANSWERED)
 
-        words: list[np.ndarray] = []
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, blocks, packed = None, [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = np.unique(batch.column(2).to_numpy())
-            if len(own) > 1 or block not in (None, own[0]):
-                raise RuntimeError("a partition holds documents of two blocks")
-            block = own[0]
-            of_language = language_ids(batch.column(1), languages)
-            for run in T.runs(batch.column(0)):
-                before, keys, _ = pair_rows(run, of_language)
-                if not part and len(keys):
-                    words += [np.unique(np.concatenate([before, keys]))]
-                hashes = pair_keys(before, keys)
-                if ways > 1:
-                    mine = hashes % U64(ways) == part
-                    before, keys, hashes = before[mine], keys[mine], hashes[mine]
-                if len(keys):
-                    held.append((before, keys, hashes))
-                    size += len(keys)
-                if size > HOLD:
-                    yield from take()
-                    size = 0
-            if len(words) > 64:
-                words = [np.unique(np.concatenate(words))]
-        if held:
-            yield from take()
-        if words:
-            keys = np.unique(np.concatenate(words))
-            yield batch_of(keys, np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.int64))
+            for own, block, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if own != part and blocks:
+                    yield answer(part, blocks, packed)
+                    blocks, packed = [], []
+                part = own
+                blocks.append(block)
+                packed.append(payload)
+        if blocks:
+            yield answer(part, blocks, packed)
 
     return rows
 
 
-GATHERED = "kind int, block int, word long, n1 long, n2 long, n3 long, n4 long, before long, blocks array<int>, reply binary"
-
-
-def gather_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums a partition's pairs over all blocks: counts of counts, sums of words, blocks of words, and counts of two and more for each block."""
-    tables = [b for b in batches if b.num_rows]
-    if not tables:
-        return
-    table = pa.Table.from_batches(tables)
-    block, a, b, n = (table.column(x).to_numpy() for x in ("block", "a", "b", "n"))
-    del table, tables
-    schema = pa.schema([("kind", pa.int32()), ("block", pa.int32()), *((x, pa.int64()) for x in ("word", "n1", "n2", "n3", "n4", "before")), ("blocks", pa.list_(pa.int32())), ("reply", pa.binary())])
-
-    def out(kind: int, size: int, **columns) -> pa.RecordBatch:
-        full = {"kind": pa.array(np.full(size, kind, np.int32))} | columns
-        return pa.RecordBatch.from_arrays([full[f.name] if f.name in full else pa.nulls(size, f.type) for f in schema], schema=schema)
-
-    if len(at := np.flatnonzero(n == 0)):
-        at = at[np.argsort(a[at], kind="stable")]
-        heads = np.flatnonzero(np.concatenate([[True], a[at][1:] != a[at][:-1]]))
-        ends = np.append(heads, len(at)).astype(np.int32)
-        yield out(WORD, len(heads), word=pa.array(a[at][heads]), blocks=pa.ListArray.from_arrays(pa.array(ends), pa.array(block[at])))
-    at = np.flatnonzero(n)
-    if not len(at):
-        return
-    block, a, b, n = block[at], a[at], b[at], n[at]
-    hashes, first, back = np.unique(pair_keys(a.view(np.uint64), b.view(np.uint64)), return_index=True, return_inverse=True)
-    total = np.zeros(len(hashes), np.int64)
-    np.add.at(total, back, n)
-    yield out(COUNTS, 1, **{f"n{k}": pa.array([int((total == k).sum())]) for k in (1, 2, 3, 4)})
-    words, of = np.unique(np.concatenate([a[first], b[first]]), return_inverse=True)
-    context, follows = of[: len(first)], of[len(first) :]
-    whole = lambda of, w=None: pa.array(np.bincount(of, w, minlength=len(words)).astype(np.int64))
-    yield out(STAT, len(words), word=pa.array(words), n1=whole(context, total), n2=whole(context, np.where(total > 1, total, 0)), n3=whole(context, total == 2), n4=whole(context, total > 2), before=whole(follows))
-    often = np.flatnonzero(total[back] > 1)
-    often = often[np.argsort(block[often], kind="stable")]
-    ends = np.append(np.flatnonzero(np.diff(block[often], prepend=-1)), len(often))
-    for low, high in zip(ends, ends[1:], strict=False):
-        own = np.unique(back[often[low:high]])
-        yield out(REPLY, 1, block=pa.array([block[often[low]]], pa.int32()), reply=pa.array([np.concatenate([hashes[own].view(np.int64), total[own]]).tobytes()], pa.binary()))
+def pair_totals(hashes: np.ndarray, columns: list[np.ndarray]):
+    """Each pair's count in all blocks, doubled, and one more for the first block that holds it; counts of counts 1 to 4."""
+    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    total = np.bincount(back, columns[0]).astype(np.int64)
+    code = 2 * total[back]
+    code[first] += 1
+    return PAIRS, [code], [int((total == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def word_totals(hashes: np.ndarray, columns: list[np.ndarray]):
+    """Of each word: as a first word its count, the count of its pairs of two and more, how many of those occur twice and more often; how many words stand before it."""
+    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    ahead, behind, often, twice, more, spared = (np.bincount(back, c).astype(np.int64) for c in columns)
+    before = behind - spared
+    own = before[before > 0]
+    return WORDS, [x[back] for x in (ahead, often, twice, more, before)], [int(own.sum()), len(own), *(int((own == k).sum()) for k in (1, 2, 3, 4))]
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, bytes, dict[int, list[bytes]]]]:
+    """(block, meta, body, answers by kind) of rows that arrive ordered by block, kind and range."""
+    held = None
+    for batch in batches:
+        for block, kind, meta, payload in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if held is None or held[0] != block:
+                if held is not None:
+                    yield held
+                if kind != BODY:
+                    raise RuntimeError("answers without their block")
+                held = (block, meta, payload, {PAIRS: [], WORDS: []})
+            else:
+                held[3][kind].append(payload)
+    if held is not None:
+        yield held
+
+
+def told_of(body: Body, packed: list[bytes], pairs: np.ndarray) -> np.ndarray:
+    codes = np.concatenate([np.zeros(0, np.uint64), *(unsqueeze(x)[0] for x in packed)]).astype(np.int64)
+    if len(codes) != len(pairs):
+        raise RuntimeError("a block was not told of all of its pairs")
+    return codes
+
+
+def word_rows(width: int, ways: int):
+    """What each block knows of its words; a pair of two and more counts in the first block that holds it."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, packed, told in by_block(batches):
+            body = Body(packed, width)
+            pairs, at = body.pairs(return_index=True)
+            codes = told_of(body, told[PAIRS], pairs)
+            own = np.flatnonzero((codes & 1 == 1) & (codes > 3))
+            total, a, b = codes[own] >> 1, body.before[at[own]], body.word[at[own]]
+            count = lambda of, w=None: np.bincount(of, w, minlength=len(body.words)).astype(np.int64)
+            columns = [count(body.before), count(body.word), count(a, total), count(a, total == 2), count(a, total > 2), count(b, total - 1)]
+            yield asked(block, body.words, columns, bins(width, ways))
+
+    return rows
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -157,78 +269,35 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.clip(out, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.8])
 
 
-@dataclass
-class Model:
-    """What one block's words and pairs need: sums of words, and counts of the pairs that occur twice or more."""
-
-    words: np.ndarray
-    all: np.ndarray
-    left: np.ndarray
-    lower: np.ndarray
-    pairs: np.ndarray
-    n: np.ndarray
-    cuts: np.ndarray
-
-    def log_probability(self, before: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        a, b = np.searchsorted(self.words, before), np.searchsorted(self.words, keys)
-        if len(keys) and (max(a.max(), b.max()) >= len(self.words) or (self.words[a] != before).any() or (self.words[b] != keys).any()):
-            raise RuntimeError("a block was not sent all of its words")
-        p = self.left[a] * self.lower[b]
-        pairs = pair_keys(before, keys)
-        at = np.searchsorted(self.pairs, pairs)
-        known = at < len(self.pairs)
-        known[known] = self.pairs[at[known]] == pairs[known]
-        n = self.n[at[known]]
-        p[known] += (n - self.cuts[np.minimum(n, 3)]) / self.all[a[known]]
-        return np.log(np.maximum(p, 1e-30))
-
-
-def score_rows(languages: dict[str, int], cuts: np.ndarray):
-    """Rows of one block: its words and replies first, then its documents."""
-    schema = pa.schema([("doc_id", pa.int64()), ("language", pa.int32())] + [(x, pa.int64()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("log_perplexity", pa.float64())])
+def score_rows(width: int, d: np.ndarray, d1: np.ndarray, kinds: float, even: float):
+    """Counts and perplexity of each document of a block."""
+    names = ["doc_id", "lang", *COUNTED]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[list[np.ndarray]] = [[], [], [], []]
-        replies: list[np.ndarray] = []
-        model, block = None, None
-
-        def built() -> Model:
-            key, all_, left, lower = (np.concatenate(x) if x else np.zeros(0) for x in words)
-            key = key.astype(np.int64).view(np.uint64)
-            order = np.argsort(key)
-            hashes = np.concatenate([np.zeros(0, np.int64), *(x[: len(x) // 2] for x in replies)]).view(np.uint64)
-            n = np.concatenate([np.zeros(0, np.int64), *(x[len(x) // 2 :] for x in replies)])
-            line = np.argsort(hashes)
-            return Model(key[order], all_[order], left[order], lower[order], hashes[line], n[line], cuts)
-
-        for batch in batches:
-            kind, own_block = batch.column("kind").to_numpy(), batch.column("block").to_numpy()
-            for low, high in zip(at := np.flatnonzero(np.concatenate([[True], (np.diff(kind) != 0) | (np.diff(own_block) != 0)])), [*at[1:], len(kind)], strict=True) if len(kind) else ():
-                part = batch.slice(low, high - low)
-                if own_block[low] != block:
-                    words, replies, model, block = [[], [], [], []], [], None, own_block[low]
-                if kind[low] == 0:
-                    for held, name in zip(words, ("word", "all", "left", "lower"), strict=True):
-                        held.append(part.column(name).to_numpy())
-                    continue
-                if kind[low] == 1:
-                    replies += [np.frombuffer(x.as_buffer(), np.int64).copy() for x in part.column("reply")]
-                    continue
-                model = model or built()
-                of_language = language_ids(part.column("lang"), languages)
-                for run in T.runs(part.column("text")):
-                    counts, _, _ = base(run)
-                    before, keys, of = pair_rows(run, of_language)
-                    sums = np.bincount(of, model.log_probability(before, keys), minlength=run.size)
-                    n = counts["n_words"]
-                    value = np.where(n > 0, -sums / np.maximum(n, 1), np.nan)
-                    own = of_language[run.first : run.first + run.size]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(run.first, run.size), pa.array(own.astype(np.int32)), *(pa.array(counts[x].astype(np.int64)) for x in schema.names[2:7]), pa.array(value, from_pandas=True)], schema=schema)
+        for _, meta, packed, told in by_block(batches):
+            body = Body(packed, width)
+            pairs, at, back = body.pairs(return_index=True, return_inverse=True)
+            total = told_of(body, told[PAIRS], pairs) >> 1
+            columns = list(zip(*(unsqueeze(x) for x in told[WORDS]), strict=True))
+            ahead, often, twice, more, before = (np.concatenate(c).astype(np.float64) for c in columns) if columns else (np.zeros(0),) * 5
+            if len(ahead) != len(body.words):
+                raise RuntimeError("a block was not told of all of its words")
+            left = np.where(ahead > 0, 1 - (often - twice * d[2] - more * d[3]) / np.maximum(ahead, 1), 1.0)
+            cut = np.minimum(before, d1[np.minimum(before, 3).astype(np.int64)])
+            lower = (before - cut) / kinds + even
+            a, b = body.before[at], body.word[at]
+            p = left[a] * lower[b] + np.where(total > 1, total - d[np.minimum(total, 3)], 0) / ahead[a]
+            sizes = body.sizes.astype(np.int64)
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            sums = np.bincount(of, np.log(np.maximum(p, 1e-30))[back], minlength=len(sizes))
+            value = np.where(sizes > 0, -sums / np.maximum(sizes, 1), np.nan)
+            docs = pa.ipc.open_stream(meta).read_all().combine_chunks()
+            yield from pa.table([*(docs[n] for n in names), pa.array(value, from_pandas=True)], names=[*names, "log_perplexity"]).to_batches()
 
     return rows
 
 
-def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", word_share: float = 0.0, pair_share: float = 0.0, fence: float = 2.0, least_spread: float = 0.5, tail: float = 0.005, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
+def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", word_share: float = 0.0, pair_share: float = 0.0, fence: float = 2.0, least_spread: float = 0.5, tail: float = 0.005, least_texts: int = 50, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
     """Counts of each text, base_failed, kept, log_perplexity and the band it is held against.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -236,9 +305,10 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     distinct texts that the base rules pass, reaches ``fence`` times the distance of its quartiles
     (``least_spread`` at least) above the upper one, and down to its quantile ``tail``: clean texts
     with near copies are easily foreseen and make a long lower flank, where quartiles would
-    reject a quarter of them.  What lies outside is rejected.  Null and blank texts have zero counts, no
-    perplexity, and fail for want of words.  The null language is a language; languages
-    with less than a thousandth of the rows share one model.  Repeated ids and rows are
+    reject a quarter of them.  What lies outside is rejected.  Every language has words, pairs and a band of its
+    own, the null language too; one with fewer than ``least_texts`` such texts, too few for quantiles, takes the band of all
+    languages together.  Null and blank texts have zero counts, no perplexity, and fail for want of words.
+    A very long text is a block of its own, and an empty table gives no rows.  Repeated ids and rows are
     judged each, ids may be null, and other columns are not read.  Every word and pair is in the
     model, so ``word_share`` and ``pair_share`` can only be 0.
     """
@@ -246,47 +316,51 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
         raise ValueError("the model holds every word and pair")
     spark = docs.sparkSession
     space = Workspace(spark, "rules")
-    source = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(id_col).cast("long").alias("doc_id"))
-    spoken = source.groupBy("lang").agg(F.count("*").alias("n"))
-    rows = spoken.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    languages = {r[0]: k for k, r in enumerate(sorted(spoken.filter(F.col("n") >= max(1, rows * LANGUAGE_SHARE)).select("lang").collect()))}
-
-    size = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    blocks = max(parts(spark), -(-size // BLOCK_BYTES))
-    source = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", "lang"), F.lit(blocks)).cast("int"))
-    passes = min(MOST_PASSES, max(1, -(-size // PASS_BYTES)))
-    gathered = None
-    for k in range(passes):
-        asked = source.select("text", "lang", "block").repartitionById(blocks, "block").mapInArrow(tally_rows(languages, k, passes), "block int, a long, b long, n long")
-        own = space.settle(asked.repartition(blocks, "a", "b").mapInArrow(gather_rows, GATHERED), f"gathered-{k}")
-        gathered = own if gathered is None else gathered.unionByName(own)
-
-    often = gathered.filter(F.col("kind") == COUNTS).agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in (1, 2, 3, 4))).first()
-    d = discounts(np.array(often))
-    sums = gathered.filter(F.col("kind") == STAT).groupBy("word").agg(*(F.sum(x).alias(x) for x in ("n1", "n2", "n3", "n4", "before")))
-    sums = space.settle(sums, "sums")
-    every = sums.agg(F.coalesce(F.sum("before"), F.lit(0)), F.count(F.when(F.col("before") > 0, 1)), *(F.count(F.when(F.col("before") == k, 1)) for k in (1, 2, 3, 4))).first()
-    d1 = discounts(np.array(every[2:]))
-    pick = lambda n, cuts: F.when(n == 0, 0.0).when(n == 1, float(cuts[1])).when(n == 2, float(cuts[2])).otherwise(float(cuts[3]))
-    cut = F.least(F.col("before").cast("double"), pick(F.col("before"), d1))
-    spared = sums.agg(F.coalesce(F.sum(cut), F.lit(0.0))).first()[0]
-    kinds, distinct = float(max(every[0], 1)), every[1] + 2 * (len(languages) + 1)
-    left = F.when(F.col("n1") > 0, 1 - (F.col("n2") - F.col("n3") * float(d[2]) - F.col("n4") * float(d[3])) / F.col("n1")).otherwise(1.0)
-    told = sums.select(F.col("word").alias("w"), F.greatest("n1", F.lit(1)).cast("double").alias("all"), left.alias("left"), ((F.col("before") - cut) / kinds + F.lit(spared / kinds / distinct)).alias("lower"))
-    words = gathered.filter(F.col("kind") == WORD).join(told, F.col("word") == F.col("w")).select(F.lit(0).alias("kind"), F.explode("blocks").alias("block"), "word", "all", "left", "lower")
-    replies = gathered.filter(F.col("kind") == REPLY).select(F.lit(1).alias("kind"), "block", "reply")
-    both = words.unionByName(replies, allowMissingColumns=True).unionByName(source.withColumn("kind", F.lit(2)), allowMissingColumns=True)
-    fields = "doc_id long, language int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
-    scored = space.settle(both.repartitionById(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(score_rows(languages, d), fields), "scored")
-    space.drop("sums", *(f"gathered-{k}" for k in range(passes)))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
+    size, languages = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.countDistinct("lang")).first()
+    width = min(62, max(40, int(size).bit_length() + 14))
+    ways = max(parts(spark), -(-size // (PASSES * BLOCK_BYTES)))
+    bodies = space.settle(source.mapInArrow(body_rows(width, BLOCK_BYTES), "block long, meta binary, payload binary"), "bodies")
+
+    def answers(messages: DataFrame, many: int, solve, name: str) -> DataFrame:
+        dealt = messages.repartitionById(ways, F.pmod("part", F.lit(ways)).cast("int")).sortWithinPartitions("part", "block")
+        return space.settle(dealt.mapInArrow(answered_rows(width, many, solve), ANSWERED_SQL), name)
+
+    def totals(told: DataFrame, n: int) -> list[int]:
+        return list(told.filter(F.col("kind") == SUMS).agg(*(F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)) for k in range(n))).first())
+
+    together = lambda frames: reduce(DataFrame.unionByName, frames)
+    pairs = together([answers(bodies.select("block", "payload").mapInArrow(pair_rows(width, PASSES, ways, k), ASKED_SQL), PASSES * ways, pair_totals, f"pairs-{k}") for k in range(PASSES)])
+    d = discounts(np.array(totals(pairs, 4)))
+
+    def met(share: int, *told: DataFrame) -> DataFrame:
+        """Blocks of one share with their answers."""
+        rows = bodies.select("block", F.lit(BODY).alias("kind"), "meta", "payload", F.lit(-1).alias("part"))
+        for more in told:
+            rows = rows.unionByName(more.filter(F.col("kind") != SUMS).select("block", "kind", F.lit(None).cast("binary").alias("meta"), "payload", "part"))
+        rows = rows.filter(F.pmod(F.xxhash64("block"), F.lit(SHARES)) == share)
+        return rows.repartition("block").sortWithinPartitions("block", "kind", "part").select("block", "kind", "meta", "payload")
+
+    asks = together([space.settle(met(k, pairs).mapInArrow(word_rows(width, ways), ASKED_SQL), f"asks-{k}") for k in range(SHARES)])
+    words = answers(asks, ways, word_totals, "words")
+    space.drop(*(f"asks-{k}" for k in range(SHARES)))
+    kinds, seen, *often = totals(words, 6)
+    d1 = discounts(np.array(often))
+    spared = often[0] * d1[1] + often[1] * d1[2] + (seen - often[0] - often[1]) * d1[3]
+    kinds, known = float(max(kinds, 1)), seen + 2 * (languages + 1)
+    fields = "doc_id long, lang string, " + ", ".join(f"{x} long" for x in COUNTED) + ", log_perplexity double"
+    scored = together([space.settle(met(k, pairs, words).mapInArrow(score_rows(width, d, d1, kinds, spared / kinds / known), fields), f"scored-{k}") for k in range(SHARES)])
+    space.drop("bodies", "words", *(f"pairs-{k}" for k in range(PASSES)))
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated)
     scored = scored.withColumn("base_failed", failed)
     # Copies of a text have its perplexity to the last bit.
-    distinct_texts = scored.filter(~F.col("base_failed")).select(F.col("language").alias("l"), "log_perplexity").distinct()
-    quarter = distinct_texts.groupBy("l").agg(F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75), F.lit(tail)), F.lit(10_000)).alias("q"))
+    distinct_texts = scored.filter(~F.col("base_failed")).select("lang", "log_perplexity").distinct()
+    quarter = distinct_texts.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("texts"), F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75), F.lit(tail)), F.lit(10_000)).alias("q"))
+    common = distinct_texts.agg(F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75), F.lit(tail)), F.lit(10_000)).alias("all")).first()[0]
+    of_all = F.lit(None).cast("array<double>") if common is None else F.array(*(F.lit(float(x)) for x in common))
+    quarter = quarter.withColumn("q", F.when(F.col("texts") >= least_texts, F.col("q")).otherwise(of_all))
     wide = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(least_spread)) * fence
     bands = quarter.select("l", F.col("q")[2].alias("band_low"), (F.col("q")[1] + wide).alias("band_high"))
-    # A thousandth of the rows makes a language, so there are no more than a thousand and one bands.
-    told = scored.join(F.broadcast(bands), F.col("language") == F.col("l"), "left")
+    told = scored.join(bands, F.col("lang") == F.col("l"), "left")
     verdict = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
     return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "log_perplexity", "band_low", "band_high")
