@@ -19,9 +19,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
+    """The cluster's shared folder; a temporary one only where a session on one machine names none (tests)."""
     named = spark.conf.get(SETTING, None)
     if named is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{SETTING} must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lattiq-")
         spark.conf.set(SETTING, named)
     return named.rstrip("/")

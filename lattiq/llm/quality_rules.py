@@ -32,7 +32,7 @@ from .docstats import base
 from .durable import Workspace, parts
 
 BLOCK_BYTES = 1 << 24
-PASSES, SHARES = 3, 3
+PASSES, SHARES = 3, 6
 COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 BODY, PAIRS, WORDS, SUMS = range(4)
 HEAD = struct.Struct("<BQQ")
@@ -339,7 +339,7 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
         for more in told:
             rows = rows.unionByName(more.filter(F.col("kind") != SUMS).select("block", "kind", F.lit(None).cast("binary").alias("meta"), "payload", "part"))
         rows = rows.filter(F.pmod(F.xxhash64("block"), F.lit(SHARES)) == share)
-        return rows.repartition("block").sortWithinPartitions("block", "kind", "part").select("block", "kind", "meta", "payload")
+        return rows.repartition(max(parts(spark), -(-size // (SHARES * BLOCK_BYTES))), "block").sortWithinPartitions("block", "kind", "part").select("block", "kind", "meta", "payload")
 
     asks = together([space.settle(met(k, pairs).mapInArrow(word_rows(width, ways), ASKED_SQL), f"asks-{k}") for k in range(SHARES)])
     words = answers(asks, ways, word_totals, "words")
