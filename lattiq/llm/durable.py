@@ -16,6 +16,8 @@ from ..session import ship
 
 SETTING = "spark.checkpoint.dir"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,12 +50,14 @@ class Workspace:
     def settle(self, frame: DataFrame, name: str) -> DataFrame:
         """Write ``frame`` and return what was written; its shuffle files go as soon as it stands."""
         at = f"{self.root}/{name}"
-        before = self.spark.conf.get(CLEANUP, "false")
+        before, rows = self.spark.conf.get(CLEANUP, "false"), self.spark.conf.get(BATCH)
         self.spark.conf.set(CLEANUP, "true")
+        self.spark.conf.set(BATCH, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
         try:
             frame.write.mode("overwrite").option("compression", "zstd").parquet(at)
         finally:
             self.spark.conf.set(CLEANUP, before)
+            self.spark.conf.set(BATCH, rows)
         return self.spark.read.schema(frame.schema).parquet(at)
 
     def drop(self, *names: str) -> None:

@@ -96,7 +96,7 @@ def signature_rows(width: int, coordinates: int, key: pa.DataType):
                         fine.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sig, pa.list_(pa.int64())), T.blobs(fine)], schema=schema)
 
-    return rows
+    return T.lean(rows)
 
 
 def set_rows(width: int):
@@ -115,7 +115,7 @@ def set_rows(width: int):
                         own.append(mine.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), T.blobs(own)], schema=schema)
 
-    return rows
+    return T.lean(rows)
 
 
 def agreeing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -226,7 +226,7 @@ def block_rows(least: int, percent: int | None):
         if held is not None:
             yield solve(held)
 
-    return rows
+    return T.lean(rows)
 
 
 def linked_in_blocks(members: DataFrame, payload: DataFrame, central: DataFrame, weight: Column, space: Workspace, name: str, least: int, percent: int | None) -> DataFrame:

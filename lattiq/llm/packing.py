@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textscan as T
 from .durable import Workspace
 from .tokens import open_shard, placed, write_tokens
 
@@ -47,7 +48,7 @@ def piece_rows(length: int, with_ids: bool):
                     columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(wide.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return rows
+    return T.lean(rows)
 
 
 def pack(docs: DataFrame, vocabulary_file: str, *, end_id: int = 2, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special_as_text: bool = False) -> DataFrame:

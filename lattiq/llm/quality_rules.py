@@ -31,7 +31,7 @@ from . import textscan as T
 from .docstats import base
 from .durable import Workspace, parts
 
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
 PASSES, SHARES = 3, 6
 COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 BODY, PAIRS, WORDS, SUMS = range(4)
@@ -141,7 +141,7 @@ def body_rows(width: int, block_bytes: int):
         if tables:
             yield block()
 
-    return rows
+    return T.lean(rows)
 
 
 ASKED = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
@@ -169,7 +169,7 @@ def pair_rows(width: int, passes: int, ways: int, step: int):
                 low, high = np.searchsorted(hashes, first[0]), len(hashes) if end is None else np.searchsorted(hashes, end)
                 yield asked(block, hashes[low:high], [n[low:high]], first, step * ways)
 
-    return rows
+    return T.lean(rows)
 
 
 def answered_rows(width: int, many: int, solve):
@@ -199,7 +199,7 @@ def answered_rows(width: int, many: int, solve):
         if blocks:
             yield answer(part, blocks, packed)
 
-    return rows
+    return T.lean(rows)
 
 
 def pair_totals(hashes: np.ndarray, columns: list[np.ndarray]):
@@ -258,7 +258,7 @@ def word_rows(width: int, ways: int):
             columns = [count(body.before), count(body.word), count(a, total), count(a, total == 2), count(a, total > 2), count(b, total - 1)]
             yield asked(block, body.words, columns, bins(width, ways))
 
-    return rows
+    return T.lean(rows)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -294,7 +294,7 @@ def score_rows(width: int, d: np.ndarray, d1: np.ndarray, kinds: float, even: fl
             docs = pa.ipc.open_stream(meta).read_all().combine_chunks()
             yield from pa.table([*(docs[n] for n in names), pa.array(value, from_pandas=True)], names=[*names, "log_perplexity"]).to_batches()
 
-    return rows
+    return T.lean(rows)
 
 
 def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", word_share: float = 0.0, pair_share: float = 0.0, fence: float = 2.0, least_spread: float = 0.5, tail: float = 0.005, least_texts: int = 50, least_words: int = 50, most_repeated: int = 50) -> DataFrame:

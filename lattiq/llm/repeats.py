@@ -86,7 +86,7 @@ def anchor_rows(span: int):
                 of = pa.array(np.concatenate(of))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(at)), pa.array(np.concatenate(grams))], schema=schema)
 
-    return rows
+    return T.lean(rows)
 
 
 CUTS = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int32()), ("key", pa.int64()), ("lead", pa.int32()), ("u1", pa.int64()), ("u2", pa.int64()), ("cut", pa.binary())])
@@ -127,7 +127,7 @@ def cut_rows(span: int):
             if out:
                 yield recorded(out, CUTS)
 
-    return rows
+    return T.lean(rows)
 
 
 SLICES = pa.schema([("p1", pa.int64()), ("p2", pa.int64()), ("start", pa.int32()), ("twice", pa.bool_()), ("key", pa.int64()), ("lead", pa.int32()), ("u1", pa.int64()), ("u2", pa.int64()), ("cut", pa.binary())])
@@ -154,7 +154,7 @@ def slice_rows(span: int, step: int):
             if out:
                 yield recorded(out, SLICES)
 
-    return rows
+    return T.lean(rows)
 
 
 def phrase_ends(data: np.ndarray, grain: int) -> np.ndarray:
@@ -270,7 +270,7 @@ def block_rows(span: int, grain: int):
         if held:
             yield solve(held)
 
-    return rows
+    return T.lean(rows)
 
 
 def cut_out(size: int, pairs: list[int], span: int, start: int = 0) -> list[tuple[int, int]]:
@@ -311,7 +311,7 @@ def report_rows(span: int, key: pa.DataType, texts: bool):
                 digest.append((None if blank[k] else kept.decode("utf-8", "replace")) if texts else hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (size, gone, many)), pa.array(digest, pa.string())], schema=schema)
 
-    return rows
+    return T.lean(rows)
 
 
 def repeated_stretches(unlike: DataFrame, space: Workspace, span: int, grain: int, step: int, label: str) -> DataFrame:

@@ -25,8 +25,8 @@ from . import textscan as T
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KNOWN_WORDS = 4_000_000
-RUN_BYTES = 1 << 22
+KNOWN_WORDS = 2_000_000
+RUN_BYTES = 1 << 21
 CALL = 512
 MARKS = np.frombuffer(b",.;:!?", np.uint8)
 

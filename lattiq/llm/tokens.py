@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
+from . import textscan as T
 from .durable import Workspace
 from .tokenize import encoder
 
@@ -117,7 +118,7 @@ def shard_rows(vocabulary, end_id: int, special_as_text: bool):
         if documents:
             yield shard()
 
-    return rows
+    return T.lean(rows)
 
 
 def write_tokens(docs: DataFrame, space: Workspace, name: str, vocabulary_file: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
