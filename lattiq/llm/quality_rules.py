@@ -31,7 +31,7 @@ from . import textscan as T
 from .docstats import base
 from .durable import Workspace, parts
 
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 24
 PASSES, SHARES = 3, 6
 COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 BODY, PAIRS, WORDS, SUMS = range(4)
@@ -78,8 +78,11 @@ class Body:
     def __init__(self, packed: bytes, width: int):
         self.width = width
         words, word, before, self.sizes = unsqueeze(packed)
-        self.words = np.cumsum(words, dtype=np.uint64)
-        self.word, self.before = word.astype(np.int64), before.astype(np.int64)
+        words = np.cumsum(words, dtype=np.uint64)
+        order = np.argsort(words)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.words, self.word, self.before = words[order], rank[word.astype(np.int64)], rank[before.astype(np.int64)]
         # A word's predecessor is the word in front of it, but for the first of a text.
         first = np.cumsum(self.sizes).astype(np.int64) - self.sizes.astype(np.int64)
         starts = self.before
@@ -92,7 +95,8 @@ class Body:
     def pack(keys: list[np.ndarray], starts: list[np.ndarray], sizes: list[np.ndarray]) -> bytes:
         keys, starts, sizes = (np.concatenate(x) for x in (keys, starts, sizes))
         codes, distinct = pd.factorize(np.concatenate([keys, starts]))
-        order = np.argsort(distinct)
+        # Frequent words have small indexes, and words about as frequent stand in order of their hashes: both pack well.
+        order = np.lexsort((distinct, -np.frexp(np.bincount(codes).astype(np.float64))[1]))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         line = distinct[order].astype(np.uint64)
@@ -342,7 +346,7 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
         return rows.repartition(max(parts(spark), -(-size // (SHARES * BLOCK_BYTES))), "block").sortWithinPartitions("block", "kind", "part").select("block", "kind", "meta", "payload")
 
     asks = together([space.settle(met(k, pairs).mapInArrow(word_rows(width, ways), ASKED_SQL), f"asks-{k}") for k in range(SHARES)])
-    words = answers(asks, ways, word_totals, "words")
+    words = together([answers(asks.filter(F.pmod("part", F.lit(PASSES)) == k), ways, word_totals, f"words-{k}") for k in range(PASSES)])
     space.drop(*(f"asks-{k}" for k in range(SHARES)))
     kinds, seen, *often = totals(words, 6)
     d1 = discounts(np.array(often))
@@ -350,7 +354,7 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     kinds, known = float(max(kinds, 1)), seen + 2 * (languages + 1)
     fields = "doc_id long, lang string, " + ", ".join(f"{x} long" for x in COUNTED) + ", log_perplexity double"
     scored = together([space.settle(met(k, pairs, words).mapInArrow(score_rows(width, d, d1, kinds, spared / kinds / known), fields), f"scored-{k}") for k in range(SHARES)])
-    space.drop("bodies", "words", *(f"pairs-{k}" for k in range(PASSES)))
+    space.drop("bodies", *(f"{x}-{k}" for x in ("words", "pairs") for k in range(PASSES)))
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated)
     scored = scored.withColumn("base_failed", failed)
     # Copies of a text have its perplexity to the last bit.
