@@ -81,13 +81,15 @@ def start(frames: DataFrame, folder: str, checkpoint: str, stride: int = 25, las
 
 
 def may_follow(stored: dict, asked: dict) -> bool:
-    """Whether a run may go on with new settings: the same ones, more frames, windows that end later and nothing after it was finished."""
+    """Whether a run may go on with new settings: the same ones, or more frames with windows that end no earlier; nothing after it was finished."""
+    if stored == asked:
+        return True
     if stored.get("finalized"):
-        return stored == asked
+        return False
     free = ("expected_frames", "windows", "finalized")
     if any(stored.get(k) != asked.get(k) for k in {*stored, *asked} if k not in free):
         return False
-    if asked.get("expected_frames", 0) < stored.get("expected_frames", 0):
+    if asked.get("expected_frames", 0) <= stored.get("expected_frames", 0):
         return False
     old, new = stored.get("windows", {}), asked.get("windows", {})
     return old.keys() == new.keys() and all(new[k][0] == old[k][0] and new[k][1] >= old[k][1] for k in old)
