@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 
 
 def endpoint_join(frames: DataFrame, stride: int) -> DataFrame:
-    """Each middle frame with the start and end anchor of its group: two equi-joins on (channel, gop).
+    """Each middle frame with the start and end anchor of its group.
 
+    An anchor goes to the group it starts and the one it ends, so one shuffle by (channel, gop) brings a group of at
+    most ``stride`` + 1 frames together, and what is made of groups afterwards needs no other.
     Frames (channel, pos, time, value) behind the last anchor have no end and are left out.
     """
-    anchors = frames.filter(F.col("pos") % stride == 0).select("channel", F.floor(F.col("pos") / stride).alias("gop"), F.col("time").alias("t"), F.col("value").alias("v"))
-    middles = frames.filter(F.col("pos") % stride != 0).withColumn("gop", F.floor(F.col("pos") / stride))
-    starts = anchors.select("channel", "gop", F.col("t").alias("start_time"), F.col("v").alias("start_value"))
-    ends = anchors.select("channel", (F.col("gop") - 1).alias("gop"), F.col("t").alias("end_time"), F.col("v").alias("end_value"))
-    return middles.join(starts, ["channel", "gop"]).join(ends, ["channel", "gop"]).withColumn("tau", N.tau_of(F.col("time"), F.col("start_time"), F.col("end_time")))
+    gop = F.floor(F.col("pos") / stride)
+    groups = F.when(F.col("pos") % stride == 0, F.array(gop, gop - 1)).otherwise(F.array(gop))
+    dealt = frames.withColumn("gop", F.explode(groups))
+    group = Window.partitionBy("channel", "gop")
+    anchor = lambda k: F.max(F.when(F.col("pos") == (F.col("gop") + k) * stride, F.struct("time", "value"))).over(group)
+    told = dealt.withColumn("_start", anchor(0)).withColumn("_end", anchor(1)).filter((F.col("pos") % stride != 0) & F.col("_start").isNotNull() & F.col("_end").isNotNull())
+    told = told.select("*", F.col("_start.time").alias("start_time"), F.col("_start.value").alias("start_value"), F.col("_end.time").alias("end_time"), F.col("_end.value").alias("end_value")).drop("_start", "_end")
+    return told.withColumn("tau", N.tau_of(F.col("time"), F.col("start_time"), F.col("end_time")))
 
 
 def predicted(middles: DataFrame, log_space: bool = True) -> DataFrame:
@@ -27,15 +32,19 @@ def predicted(middles: DataFrame, log_space: bool = True) -> DataFrame:
     return told.withColumn("residual", space(F.col("value")) - F.col("prediction"))
 
 
+def _top(percentile: float) -> Column:
+    return F.max(F.abs("residual")) if percentile >= 100 else F.percentile(F.abs("residual"), F.lit(percentile / 100))
+
+
 def scales(residuals: DataFrame, keys: list[str], bits: int, percentile: float) -> DataFrame:
     """Scale of each group: exact percentile of the residual's size per code, rounded to single precision."""
-    top = F.max(F.abs("residual")) if percentile >= 100 else F.expr(f"percentile(abs(residual), {percentile / 100})")
-    return residuals.groupBy(*keys).agg(F.greatest((top / N.top_code(bits)).cast("float").cast("double"), F.lit(N.EPS)).alias("scale"))
+    return residuals.groupBy(*keys).agg(F.greatest((_top(percentile) / N.top_code(bits)).cast("float").cast("double"), F.lit(N.EPS)).alias("scale"))
 
 
 def encoded(residuals: DataFrame, bits: int = 8, percentile: float = 99.9, keys: tuple[str, ...] = ("channel", "gop")) -> DataFrame:
-    """Adds scale, code and the exception (exact residual outside the code range) to residual rows."""
-    told = residuals.join(scales(residuals, list(keys), bits, percentile), list(keys))
+    """Adds scale, code and the exception (exact residual outside the code range) to residual rows; a group's scale is made where its rows are."""
+    per_code = _top(percentile).over(Window.partitionBy(*keys)) / N.top_code(bits)
+    told = residuals.withColumn("scale", F.greatest(per_code.cast("float").cast("double"), F.lit(N.EPS)))
     out = N.is_exception(F.col("residual"), F.col("scale"), bits, percentile)
     return told.withColumn("code", N.quantized(F.col("residual"), F.col("scale"), bits)).withColumn("exception", F.when(out, F.col("residual")))
 
@@ -76,9 +85,11 @@ def cadence_interpolated(frames: DataFrame, strides: list[int]) -> DataFrame:
     Each stride is a row of a small table, so one read of the frames serves all.
     """
     tagged = frames.withColumn("stride", F.explode(F.array(*(F.lit(s) for s in strides)))).withColumn("lower", F.floor(F.col("pos") / F.col("stride")) * F.col("stride"))
-    anchors = tagged.filter(F.col("pos") == F.col("lower"))
-    low = anchors.select("channel", "stride", "lower", F.col("time").alias("t0"), F.col("value").alias("v0"))
-    high = anchors.select("channel", "stride", (F.col("lower") - F.col("stride")).alias("lower"), F.col("time").alias("t1"), F.col("value").alias("v1"))
-    told = tagged.join(low, ["channel", "stride", "lower"]).join(high, ["channel", "stride", "lower"], "left")
-    line = N.linear(F.col("v0"), F.col("v1"), N.tau_of(F.col("time"), F.col("t0"), F.col("t1")))
-    return told.withColumn("estimate", F.when(F.col("pos") == F.col("lower"), F.col("value")).otherwise(line)).filter("estimate is not null")
+    # An anchor stands in its own stretch and at the end of the one before.
+    ends = F.when(F.col("pos") == F.col("lower"), F.array(F.col("lower"), F.col("lower") - F.col("stride"))).otherwise(F.array("lower"))
+    dealt = tagged.withColumn("lower", F.explode(ends))
+    stretch = Window.partitionBy("channel", "stride", "lower")
+    anchor = lambda at: F.max(F.when(F.col("pos") == at, F.struct("time", "value"))).over(stretch)
+    told = dealt.withColumn("_low", anchor(F.col("lower"))).withColumn("_high", anchor(F.col("lower") + F.col("stride"))).filter(F.col("pos") < F.col("lower") + F.col("stride"))
+    line = N.linear(F.col("_low.value"), F.col("_high.value"), N.tau_of(F.col("time"), F.col("_low.time"), F.col("_high.time")))
+    return told.withColumn("estimate", F.when(F.col("pos") == F.col("lower"), F.col("value")).otherwise(line)).filter("estimate is not null").drop("_low", "_high")
