@@ -46,12 +46,13 @@ def bracket(requests: DataFrame, frames: DataFrame, width: float, tolerance: flo
     asked = requests.select("channel", slot("request").alias("slot"), F.col("request").alias("time"), F.lit(None).cast("long").alias("pos"), "request")
     edges = points.groupBy("channel", "slot").agg(F.min(F.struct("time", "pos")).alias("first"), F.max(F.struct("time", "pos")).alias("last"))
     slots = edges.unionByName(asked.select("channel", "slot").distinct(), allowMissingColumns=True).groupBy("channel", "slot").agg(F.max("first").alias("first"), F.max("last").alias("last"))
-    line = Window.partitionBy("channel").orderBy("slot")
-    around = slots.select("channel", "slot", F.last("last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    # What comes after is looked for in descending order, so that frames only ever grow: one pass either way.
+    rising, falling = (Window.partitionBy("channel").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("slot", F.desc("slot")))
+    around = slots.select("channel", "slot", F.last("last", ignorenulls=True).over(rising).alias("before"), F.last("first", ignorenulls=True).over(falling).alias("after"))
     both = points.unionByName(asked)
     frame = F.when(F.col("pos").isNotNull(), F.struct("time", "pos"))
-    inner = Window.partitionBy("channel", "slot").orderBy("time", F.col("pos").asc_nulls_last())
-    found = both.withColumn("lower", F.last(frame, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0))).withColumn("upper", F.first(frame, ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing)))
+    up, down = (Window.partitionBy("channel", "slot").orderBy(o, F.col("pos").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("time"), F.desc("time")))
+    found = both.withColumn("lower", F.last(frame, ignorenulls=True).over(up)).withColumn("upper", F.last(frame, ignorenulls=True).over(down))
     found = found.filter("request is not null").join(around, ["channel", "slot"]).select("channel", "request", F.coalesce("lower", "before").alias("lower"), F.coalesce("upper", "after").alias("upper"))
     near_low = F.abs(F.col("request") - F.col("lower.time"))
     near_high = F.abs(F.col("upper.time") - F.col("request"))
