@@ -35,3 +35,11 @@ def test_near_dedup_leaves_one_row_of_a_group(spark, docs):
 
 def test_repeats_do_not_multiply_rows(spark, docs):
     assert corpus_pipeline.repeats_stage(spark, docs, FOLDER).count() == docs.count()
+
+
+def test_stages_keep_extra_columns_and_empty_tables(spark, docs):
+    wide = docs.selectExpr("*", "1 as kept", "'x' as row_key2", "2L as size")
+    for stage in (corpus_pipeline.repeats_stage, corpus_pipeline.mix_stage):
+        assert stage(spark, wide, FOLDER).columns == wide.columns
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
