@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Fixed phrases and labels: places count where their words stand one after the other.
@@ -55,14 +56,14 @@ def template_pairs(spark: SparkSession) -> DataFrame:
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row.
 
-    Words are ``[0-9a-z]`` and characters beyond ASCII, after lower-casing.  Positions
+    Words are ``[0-9a-z]`` and characters beyond ASCII, after lower-casing A-Z.  Positions
     count words from 0.  Null and empty texts have no words and no labels (empty
     strings), and null positions.  Rows are told apart by their place in the scan, so repeated rows and ids, null
     ids too, are reported each.  ``score`` is the largest share of a template's pairs
     that one reported span holds.  Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.regexp_extract_all(F.coalesce(F.lower(F.col(text_col).cast("string")), F.lit("")), F.lit(WORD), F.lit(0)).alias("words"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, UPPER.lower()), F.lit(WORD), F.lit(0)).alias("words"))
     spots = rows.select("doc_id", "rid", "words", F.explode(F.sequence(F.lit(-1), F.greatest(F.size("words") - 2, F.lit(-1)))).alias("pos"))
     one, two = F.get("words", F.col("pos")), F.get("words", F.col("pos") + 1)
     # Position -1 stands for the document itself: it meets no template and carries the size.
@@ -94,7 +95,7 @@ def oracle() -> str:
     rows = ", ".join(f"({k}, '{label}', {str(exact).lower()}, {size}, {at}, '{words[at]}', '{words[at + 1]}')" for k, label, exact, size, words in _templates() for at in range(size - 1))
     return rf"""
         WITH tpl(tid, label, exact, size, place, w0, w1) AS (VALUES {rows}),
-        doc AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+        doc AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
         spot AS (SELECT rid, words, unnest(range(0, greatest(len(words) - 1, 0))) AS pos FROM doc),
         votes AS (
             SELECT rid, tid, label, exact, size, pos - place AS diagonal, count(*) AS hits, min(pos) AS low, max(pos) AS high

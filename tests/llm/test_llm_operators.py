@@ -37,7 +37,7 @@ def rows():
         words[10 + 7 * k] = "changed"
         texts.append(" ".join(words))
     texts += [prose(rng, 40) + " " + passage + " " + prose(rng, 30) for _ in range(4)]
-    texts += ["MIT License, the mit\nlicense. CC BY", "Licensed under the Apache License, Version 2.0 (GNU General Public License)", "a " * 130, "x" * 450, "😀 é" * 120, "a <|endoftext|> b"]
+    texts += ["MIT License, the mit\nlicense. CC BY", "Licensed under the Apache License, Version 2.0 (GNU General Public License)", "a " * 130, "x" * 450, "😀 é" * 120, "a <|endoftext|> b", "\u212a MIT LICENSE \u0130 CC BY"]
     out = [(k, t, rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", "b", None]), None if t is None else len(t), 7, "g", 1) for k, t in enumerate(texts)]
     out.append((3, "another text with the id three", "en", "a", 1, 7, None, None))
     out.append(out[8])
