@@ -9,13 +9,18 @@ EPS = 1e-30
 LOG_FIELDS = ("rho", "u")
 
 
+def single(x: Column) -> Column:
+    """Rounded to single precision, held as a double: one rounding after a double operation is that of the single one."""
+    return x.cast("float").cast("double")
+
+
 def transformed(x: Column) -> Column:
-    """Log space of a positive field."""
-    return F.ln(F.greatest(x.cast("double"), F.lit(EPS)))
+    """Log space of a positive field, in single precision."""
+    return single(F.ln(F.greatest(single(x), F.lit(EPS))))
 
 
 def inverse_transformed(x: Column) -> Column:
-    return F.exp(x)
+    return single(F.exp(single(x)))
 
 
 def linear(start: Column, end: Column, tau: Column) -> Column:
@@ -23,6 +28,11 @@ def linear(start: Column, end: Column, tau: Column) -> Column:
     return (F.lit(1.0) - tau) * start + tau * end
 
 
+def predicted_line(start: Column, end: Column, tau: Column) -> Column:
+    """The same in single precision: weights, products and their sum are rounded each."""
+    return single(single(single(F.lit(1.0) - tau) * start) + single(single(tau) * end))
+
+
 def tau_of(time: Column, start: Column, end: Column) -> Column:
     return (time - start) / (end - start)
 
@@ -37,17 +47,17 @@ def top_code(bits: int) -> int:
 def quantized(residual: Column, scale: Column, bits: int) -> Column:
     """Nearest code, ties to even, clipped."""
     q = top_code(bits)
-    return F.greatest(F.lit(-q), F.least(F.lit(q), F.rint(residual / scale).cast("int")))
+    return F.greatest(F.lit(-q), F.least(F.lit(q), F.rint(single(residual / scale)).cast("int")))
 
 
 def is_exception(residual: Column, scale: Column, bits: int, percentile: float) -> Column:
     """Whether the unrounded ratio leaves the code range; only below the 100th percentile are such values kept."""
-    return (F.abs(residual / scale) > top_code(bits)) if percentile < 100 else F.lit(False)
+    return (F.abs(single(residual / scale)) > top_code(bits)) if percentile < 100 else F.lit(False)
 
 
 def dequantized(code: Column, scale: Column, exception: Column | None = None) -> Column:
     """Residual of a code; a kept exact value replaces it."""
-    value = code.cast("double") * scale
+    value = single(code.cast("double") * scale)
     return value if exception is None else F.coalesce(exception, value)
 
 

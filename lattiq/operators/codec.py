@@ -27,9 +27,9 @@ def endpoint_join(frames: DataFrame, stride: int) -> DataFrame:
 
 def predicted(middles: DataFrame, log_space: bool = True) -> DataFrame:
     """Adds prediction and residual, in log space or as they are."""
-    space = N.transformed if log_space else (lambda x: x.cast("double"))
-    told = middles.withColumn("prediction", N.linear(space(F.col("start_value")), space(F.col("end_value")), F.col("tau")))
-    return told.withColumn("residual", space(F.col("value")) - F.col("prediction"))
+    space = N.transformed if log_space else N.single
+    told = middles.withColumn("prediction", N.predicted_line(space(F.col("start_value")), space(F.col("end_value")), F.col("tau")))
+    return told.withColumn("residual", N.single(space(F.col("value")) - F.col("prediction")))
 
 
 def _top(percentile: float) -> Column:
@@ -52,7 +52,7 @@ def encoded(residuals: DataFrame, bits: int = 8, percentile: float = 99.9, keys:
 def decoded(codes: DataFrame, log_space: bool = True) -> DataFrame:
     """Adds the dequantized residual and the reconstructed value."""
     told = codes.withColumn("dequantized", N.dequantized(F.col("code"), F.col("scale"), F.col("exception")))
-    whole = F.col("prediction") + F.col("dequantized")
+    whole = N.single(F.col("prediction") + F.col("dequantized"))
     return told.withColumn("reconstructed", N.inverse_transformed(whole) if log_space else whole)
 
 

@@ -42,8 +42,8 @@ def decode(spark: SparkSession, folder: str, profile: Profile = LOCAL, positions
         anchors = anchors.filter(F.col("gop").isin(sorted({g + k for g in groups for k in (0, 1)})))
     start = anchors.select("channel", "gop", F.col("value").alias("a"))
     end = anchors.select("channel", (F.col("gop") - 1).alias("gop"), F.col("value").alias("b"))
-    space = codec.N.transformed if profile.log_space else (lambda x: x.cast("double"))
-    told = codes.join(start, ["channel", "gop"]).join(end, ["channel", "gop"]).withColumn("prediction", codec.N.linear(space(F.col("a")), space(F.col("b")), F.col("tau")))
+    space = codec.N.transformed if profile.log_space else codec.N.single
+    told = codes.join(start, ["channel", "gop"]).join(end, ["channel", "gop"]).withColumn("prediction", codec.N.predicted_line(space(F.col("a")), space(F.col("b")), F.col("tau")))
     middles = codec.decoded(told, profile.log_space).select("channel", "pos", "time", "reconstructed", F.lit(False).alias("exact"))
     exact = anchors.select("channel", "pos", "time", F.col("value").alias("reconstructed"), F.lit(True).alias("exact"))
     return middles.unionByName(exact if positions is None else exact.filter(F.col("pos").isin(positions)))
