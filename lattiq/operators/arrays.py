@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -42,12 +42,14 @@ def compact_payload(codes: DataFrame, keys: list[str]) -> DataFrame:
     return codes.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]).alias("codes"), F.max("scale").alias("scale"), exceptions.alias("exceptions"))
 
 
-def payload_audit(payloads: DataFrame, bits: int) -> DataFrame:
-    """Counts of violations: indexes not strictly ascending, codes out of range, scales not finite or negative."""
-    ascending = F.size(F.array_distinct(F.transform("exceptions", lambda x: x["idx"]))) == F.size("exceptions")
+def payload_audit(payloads: DataFrame, bits: int, first: Column, last: Column) -> DataFrame:
+    """Counts of violations: exception indexes that do not strictly ascend or leave ``first`` to ``last``, codes out of range, scales not finite or negative."""
+    at = F.transform("exceptions", lambda x: x["idx"])
+    ascending = F.forall(F.zip_with(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), lambda later, x: later > x), lambda x: x)
+    within = F.forall(at, lambda k: (k >= first) & (k <= last))
     inside = F.forall("codes", lambda c: F.abs(c) <= N.top_code(bits))
     finite = (F.col("scale") >= 0) & ~F.isnan("scale") & (F.col("scale") < float("inf"))
-    return payloads.agg(F.count("*").alias("payloads"), F.count_if(~ascending).alias("bad_indexes"), F.count_if(~inside).alias("bad_codes"), F.count_if(~finite).alias("bad_scales"), F.sum(F.size("exceptions")).alias("exceptions"))
+    return payloads.agg(F.count("*").alias("payloads"), F.count_if(~(ascending & within)).alias("bad_indexes"), F.count_if(~inside).alias("bad_codes"), F.count_if(~finite).alias("bad_scales"), F.sum(F.size("exceptions")).alias("exceptions"))
 
 
 def derived_proxies(rho, u, speed_squared, field_squared):

@@ -30,10 +30,10 @@ def read_region(slabs: DataFrame, stop: int) -> DataFrame:
     return slabs.filter(F.col("slab_begin") < stop)
 
 
-def write_manifest(codes: DataFrame, path: str, config: dict, mode: str = "errorifexists") -> None:
-    """One JSON document per channel: groups with frames, exceptions and scale, and the configuration."""
+def write_manifest(codes: DataFrame, path: str, config: dict, mode: str = "errorifexists", groups_per_folder: int = 64) -> None:
+    """One JSON document per channel and folder of groups: groups with frames, exceptions and scale, and the configuration.  A document holds at most ``groups_per_folder`` groups."""
     groups = codes.groupBy("channel", "gop").agg(F.count("*").alias("frames"), F.count("exception").alias("exceptions"), F.min("scale").alias("scale"))
-    told = groups.groupBy("channel").agg(F.sum("frames").alias("frames"), F.array_sort(F.collect_list(F.struct("gop", "frames", "exceptions", "scale"))).alias("gops"))
+    told = groups.groupBy("channel", F.floor(F.col("gop") / groups_per_folder).alias("gop_folder")).agg(F.sum("frames").alias("frames"), F.array_sort(F.collect_list(F.struct("gop", "frames", "exceptions", "scale"))).alias("gops"))
     settings = F.create_map(*[F.lit(str(x)) for kv in config.items() for x in kv])
     told.withColumn("configuration", settings).write.mode(mode).json(path)
 

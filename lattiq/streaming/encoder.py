@@ -102,3 +102,9 @@ def retained(frames: DataFrame, every: int, windows: list[tuple[str, float, floa
     for name, begin, end in windows:
         base = base.unionByName(frames.filter((F.col("time") >= begin - slack(end)) & (F.col("time") <= end + slack(end))).select("channel", "pos", F.lit(name).alias("reason")))
     return base
+
+
+def write_retained(frames: DataFrame, path: str, every: int, windows: list[tuple[str, float, float]], mode: str = "append") -> None:
+    """Copy the frames that retention keeps, with the reasons as a list; a frame is there once."""
+    why = retained(frames, every, windows).groupBy("channel", "pos").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    frames.join(why, ["channel", "pos"]).write.mode(mode).parquet(path)
