@@ -23,7 +23,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -33,6 +33,7 @@ from .durable import Workspace, parts
 
 BLOCK_BYTES = 1 << 24
 PASSES, SHARES = 3, 6
+STEP = 1e-3
 COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 BODY, PAIRS, WORDS, SUMS = range(4)
 HEAD = struct.Struct("<BQQ")
@@ -301,6 +302,19 @@ def score_rows(width: int, d: np.ndarray, d1: np.ndarray, kinds: float, even: fl
     return T.lean(rows)
 
 
+def quantiles(values: DataFrame, ranked: tuple[float, ...]) -> DataFrame:
+    """l, texts, q: of each language's values, how many there are and the least that each share of them does not exceed.
+
+    Ranks are counted over all values, each taken down to its step of ``STEP``, so a language is a few ten thousand
+    rows at most when they are put in order, and the result does not hang on how rows are dealt.
+    """
+    steps = values.groupBy("lang", F.floor(F.col("log_perplexity") / STEP).cast("long").alias("at")).agg(F.count("*").alias("n"))
+    line = Window.partitionBy("lang")
+    below = steps.withColumn("upto", F.sum("n").over(line.orderBy("at"))).withColumn("texts", F.sum("n").over(line))
+    reached = [F.min(F.when(F.col("upto") >= F.col("texts") * share, F.col("at"))) * STEP for share in ranked]
+    return below.groupBy(F.col("lang").alias("l")).agg(F.first("texts").alias("texts"), F.array(*reached).alias("q"))
+
+
 def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", word_share: float = 0.0, pair_share: float = 0.0, fence: float = 2.0, least_spread: float = 0.5, tail: float = 0.005, least_texts: int = 50, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
     """Counts of each text, base_failed, kept, log_perplexity and the band it is held against.
 
@@ -359,9 +373,10 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     scored = scored.withColumn("base_failed", failed)
     # Copies of a text have its perplexity to the last bit.
     distinct_texts = scored.filter(~F.col("base_failed")).select("lang", "log_perplexity").distinct()
-    quarter = distinct_texts.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("texts"), F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75), F.lit(tail)), F.lit(10_000)).alias("q"))
-    common = distinct_texts.agg(F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75), F.lit(tail)), F.lit(10_000)).alias("all")).first()[0]
-    of_all = F.lit(None).cast("array<double>") if common is None else F.array(*(F.lit(float(x)) for x in common))
+    ranked = (0.25, 0.75, tail)
+    quarter = quantiles(distinct_texts, ranked)
+    common = quantiles(distinct_texts.withColumn("lang", F.lit("")), ranked).select("q").first()
+    of_all = F.lit(None).cast("array<double>") if common is None else F.array(*(F.lit(float(x)) for x in common[0]))
     quarter = quarter.withColumn("q", F.when(F.col("texts") >= least_texts, F.col("q")).otherwise(of_all))
     wide = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(least_spread)) * fence
     bands = quarter.select("l", F.col("q")[2].alias("band_low"), (F.col("q")[1] + wide).alias("band_high"))

@@ -9,8 +9,9 @@ import pytest
 from lattiq.llm import quality_rules
 
 
-def plain_perplexity(texts):
-    tokens = [["^", *t.split()] for t in texts]
+def plain_perplexity(texts, langs=None):
+    langs = langs or [""] * len(texts)
+    tokens = [[(x, w) for w in ["^", *t.split()]] for t, x in zip(texts, langs, strict=True)]
     pairs = Counter(p for t in tokens for p in zip(t, t[1:], strict=False))
     before, context, own = Counter(b for _, b in pairs), Counter(), Counter()
     d = quality_rules.discounts(np.array([sum(n == k for n in pairs.values()) for k in (1, 2, 3, 4)]))
@@ -25,7 +26,7 @@ def plain_perplexity(texts):
         logs = 0.0
         for a, b in zip(t, t[1:], strict=False):
             n = pairs[(a, b)]
-            lower = (before[b] - cut[b]) / kinds + spared / kinds / (len(before) + 4)
+            lower = (before[b] - cut[b]) / kinds + spared / kinds / (len(before) + 2 * (len(set(langs)) + 1))
             logs += np.log(((n - d[min(n, 3)]) / context[a] if n >= 2 else 0) + (1 - own[a] / context[a]) * lower)
         out.append(-logs / (len(t) - 1))
     return out
