@@ -34,6 +34,7 @@ from .durable import Workspace, parts
 BLOCK_BYTES = 1 << 24
 PASSES, SHARES = 3, 6
 STEP = 1e-3
+FEW_LANGUAGES, SALTS = 4096, 256
 COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 BODY, PAIRS, WORDS, SUMS = range(4)
 HEAD = struct.Struct("<BQQ")
@@ -380,6 +381,12 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     quarter = quarter.withColumn("q", F.when(F.col("texts") >= least_texts, F.col("q")).otherwise(of_all))
     wide = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(least_spread)) * fence
     bands = quarter.select("l", F.col("q")[2].alias("band_low"), (F.col("q")[1] + wide).alias("band_high"))
-    told = scored.join(bands, F.col("lang") == F.col("l"), "left")
+    if languages <= FEW_LANGUAGES:
+        told = scored.join(F.broadcast(bands), F.col("lang") == F.col("l"), "left")
+    else:
+        # One language may hold most rows: its band goes to many tasks.
+        salted = bands.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("doc_id", "log_perplexity", "word_chars"), F.lit(SALTS)).cast("int")
+        told = scored.join(salted, (F.col("lang") == F.col("l")) & (salt == F.col("s")), "left")
     verdict = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
     return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "log_perplexity", "band_low", "band_high")

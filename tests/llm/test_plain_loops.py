@@ -152,8 +152,10 @@ def plain_band(values):
     return at(0.005), high + 2 * max(high - low, 0.5)
 
 
-def test_bands_and_verdicts_are_those_of_plain_ranks(spark):
-    """Languages of their own, one too small for a band, copies, and texts that the base rules reject."""
+@pytest.mark.parametrize("few", [quality_rules.FEW_LANGUAGES, 0])
+def test_bands_and_verdicts_are_those_of_plain_ranks(spark, monkeypatch, few):
+    """Languages of their own, one too small for a band, copies, and texts that the base rules reject; bands sent to all tasks or dealt by salt."""
+    monkeypatch.setattr(quality_rules, "FEW_LANGUAGES", few)
     rng = random.Random(12)
     rows = []
     for lang, many in (("en", 150), ("de", 70), (None, 20)):
